@@ -130,7 +130,7 @@ def _predictor(shared, cache_words: int):
                         lang, score = model.langs[best], float(1 / np.exp(mean - mean[best]).sum())
                 langs.append(lang)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.column(3)], names=["doc_id", "held_out", "lang_pred", "score", "text_hash"])
 
     return run
 
@@ -164,10 +164,11 @@ def held_out_rows() -> Column:
 
 def predict(docs: DataFrame, model: Model | None, cache_words: int = CACHE_WORDS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out_rows().alias("held_out"), "text")
-    return rows.mapInArrow(_predictor(shared, cache_words), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out_rows().alias("held_out"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(_predictor(shared, cache_words), "doc_id bigint, held_out boolean, lang_pred string, score double, text_hash bigint")
 
 
 def identify(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score, text_hash (Spark's xxhash64) of every row of
+    ``docs`` (doc_id, text, lang)."""
     return predict(docs, fit(docs.filter(~held_out_rows() & F.col("doc_id").isNotNull()), **params))

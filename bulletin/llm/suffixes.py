@@ -386,9 +386,10 @@ def strip_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
         return pd.Series(out)
 
-    others = [c for c in names if c not in ("doc_id", "text")]
-    packed = docs.select("*", F.struct(*(F.col(f"`{c}`") for c in others), F.col("text").isNull().alias("__no_text")).alias("__row"))
+    others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]
+    row = F.struct(F.struct(F.lit(0).alias("_"), *others).alias("others"), F.col("text").isNull().alias("no_text"))
+    packed = docs.select("doc_id", "text", row.alias("__row"))
     out = _with_blocks(packed, threshold, "__row").select("doc_id", "__row", cut("bytes", "blocks").alias("text"))
-    text = F.when(~F.col("__row.__no_text"), F.col("text"))
+    text = F.when(~F.col("__row.no_text"), F.col("text"))
     col = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("bigint")}
-    return out.select(*((col[c] if c in col else F.col("__row").getField(c)).alias(c) for c in names))
+    return out.select(*((col[c] if c in col else F.col("__row.others").getField(c)).alias(c) for c in names))
