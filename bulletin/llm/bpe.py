@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .tokens import default_path, default_pattern, load_ranks
 
 MAX_WORDS = 1_000_000
+#: Texts sent to Python at once, as arrays of their words.
+BATCH_ROWS = 1000
 #: The literal pair table: a perfect hash, its slots found by a multiply and a displacement.
 _SLOT_BITS, _SHIFT_BITS, _M1, _M2 = 18, 15, 1000003897, 900022589
 _NONE = 65535  # no rank
@@ -202,6 +204,10 @@ def byte_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + (pattern or default_pattern())), F.lit(0))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("words"))
     n, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    session = docs.sparkSession
+    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(session.conf.get(rows_at_once)) <= BATCH_ROWS:
+        session.conf.set(rows_at_once, BATCH_ROWS)  # for when the result is read
     # wider partitions fold a word fewer times; whole rounds of tasks keep the cores busy
     plain = plain.coalesce(max(1, min(n, -(-n // (6 * cores)) * cores)))
     numbered = plain.mapInArrow(_number_words(byte_ids, max_words), "doc_id bigint, numbers binary, tokens array<int>, begin boolean")
