@@ -1,12 +1,12 @@
 """Exact top-k search by an impact-ordered index, score at a time (operator 7).
 
-Vectors become integers and lie in index blocks. In a block every dimension has a posting
-list, cut in segments of one value each: the quantised impact of a segment for a query is
-its weight times that value, less the least such product of the dimension. All segments of
-all dimensions are processed by descending impact and add to the accumulators of their
-vectors. A vector not met in a dimension can gain at most the impact now reached there. The
-search stops only on proof, when all but a few vectors can no longer reach the k-th best
-score; the possible members are rescored exactly from their vectors.
+Vectors become integers and lie in index blocks. In a block every component, less the least
+of its dimension, is cut in its binary digits: a posting segment holds the vectors that have
+one digit set in one dimension, as a bitmap, and the digit's place is its quantised impact.
+Segments are processed by descending impact for a block of queries at a time and add to the
+accumulators of their vectors. What all segments still to come can add or take away is known
+exactly. The search stops only on proof, when all but a few vectors can no longer reach the
+k-th best score; the possible members are rescored exactly from their vectors.
 
 Queries, a stated set, meet all rows block by block: the unit of work is one block of queries
 and one index block, dealt evenly. Each unit gives k rows a query; the k best are then
@@ -16,7 +16,7 @@ Defined cases: vectors that are null, empty or hold null or non-finite component
 part; vectors of other lengths than the query's aren't its candidates; rows with the
 query's vec_id are left out, as are rows without one; repeated candidates each count;
 of equal scores the smaller vec_id comes first; an empty table gives no rows; other
-columns are ignored. Components are under 2**24 in size after scaling, so that sums are exact.
+columns are ignored. Components are under 2**20 in size after scaling, so that sums are exact.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .common import Scratch
 K = 20
 SCALE = 64
 EVERY = 20
-INDEX_BLOCK = 16_384
+INDEX_BLOCK = 8_192
 QUERY_BLOCK = 128
 #: So many possible members are rescored without looking further.
 RESCORE = 256
@@ -72,60 +72,46 @@ def _blocks(size: int):
 
 
 class ImpactIndex:
-    """Posting lists of one block, each sorted by value and cut where the value changes."""
+    """Bitmaps of one block by digit, the highest first."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        n, dims = vectors.shape
-        order = np.argsort(vectors, axis=0, kind="stable")
-        values = np.take_along_axis(vectors, order, axis=0)
-        self.lists = np.ascontiguousarray(order.T)
-        self.dim, self.value, self.start, self.end = [], [], [], []
-        for d in range(dims):
-            cuts = np.flatnonzero(np.concatenate(([True], values[1:, d] != values[:-1, d])))
-            self.dim.append(np.full(len(cuts), d))
-            self.value.append(values[cuts, d])
-            self.start.append(cuts)
-            self.end.append(np.concatenate((cuts[1:], [n])))
-        self.low, self.high = values[0], values[-1]
-        self.dim, self.value, self.start, self.end = map(np.concatenate, (self.dim, self.value, self.start, self.end))
-
-    def search(self, query: np.ndarray, k: int, own: np.ndarray, rescore: int = RESCORE) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact scores of all vectors that may be among the k best, ``own`` apart."""
+        self.low = vectors.min(axis=0)
+        self.above = vectors - self.low
+        self.digits = int(self.above.max()).bit_length()
+        self.kind = np.float32 if int(np.abs(vectors).max()) ** 2 * vectors.shape[1] < 1 << 22 else np.float64
+
+    def segments(self, digit: int) -> np.ndarray:
+        """Of every dimension, the vectors with this digit set."""
+        return (self.above >> digit & 1).astype(self.kind)
+
+    def search(self, queries: np.ndarray, k: int, own: list[np.ndarray], rescore: int = RESCORE) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and exact scores of all vectors that may be among the
+        k best, its ``own`` apart."""
         n = len(self.vectors)
-        floor = np.minimum(query * self.low, query * self.high)  # least product in each dimension
-        impact = query[self.dim] * self.value - floor[self.dim]
-        order = np.argsort(-impact, kind="stable")
-        order = order[: int(np.count_nonzero(impact))]
-        # an accumulator holds the sum so far and, in its low bits, the dimensions met
-        bits = int(len(query)).bit_length()
-        acc = np.zeros(n, dtype=np.int64)
-        flat = np.flatnonzero((query == 0) | (self.low == self.high))
-        met_always = len(flat)
-        acc += met_always
-        acc[own] = -(1 << 62)
-        least = max(k, 1)
-        checks = set((len(order) * np.array([3, 4, 5, 6, 7, 7.5]) / 8).astype(int).tolist())
-        dim, start, end = self.dim[order].tolist(), self.start[order].tolist(), self.end[order].tolist()
-        adds = ((impact[order] << bits) + 1).tolist()
-        lists = self.lists
+        weights = queries.astype(self.kind)
+        acc = np.repeat((queries @ self.low).astype(self.kind)[:, None], n, axis=1)
+        for i, places in enumerate(own):
+            acc[i, places] = -np.inf
+        gain = np.where(queries > 0, queries, 0).sum(axis=1).astype(self.kind)
+        loss = np.where(queries < 0, queries, 0).sum(axis=1).astype(self.kind)
         possible = None
-        for i, (d, a, b, add) in enumerate(zip(dim, start, end, adds, strict=True)):
-            acc[lists[d, a:b]] += add
-            if i in checks and n > least:
-                total = acc >> bits
-                bar = np.partition(total, n - least)[n - least]
-                unmet = len(query) - (acc & ((1 << bits) - 1))
-                can = np.flatnonzero(total + unmet * int(impact[order[i]]) >= bar)
-                if len(can) <= max(rescore, 4 * k):
+        for digit in range(self.digits - 1, -1, -1):
+            acc += weights @ self.segments(digit).T * self.kind(1 << digit)
+            rest = (1 << digit) - 1  # the most that a component can still grow by
+            if n > k and (digit <= 2 or rest == 0):
+                bar = np.partition(acc, n - k, axis=1)[:, n - k]
+                can = acc + (gain * rest)[:, None] >= (bar + loss * rest)[:, None]
+                if not rest or can.sum(axis=1).max() <= max(rescore, 4 * k):
                     possible = can
                     break
         if possible is None:
-            total = acc >> bits
-            bar = np.partition(total, n - least)[n - least] if n > least else -(1 << 62)
-            possible = np.flatnonzero(total >= bar)
-        possible = possible[~np.isin(possible, own)]
-        return possible, self.vectors[possible] @ query
+            possible = acc > -np.inf
+        out = []
+        for i, query in enumerate(queries):
+            places = np.flatnonzero(possible[i] & (acc[i] > -np.inf))
+            out.append((places, self.vectors[places] @ query))
+        return out
 
 
 def _unit(k: int):
@@ -138,9 +124,9 @@ def _unit(k: int):
             sorted_ids = ids[order]
             for q_block, q_ids, q_vectors in zip(rows["q_block"], rows["q_ids"], rows["q_vectors"], strict=True):
                 queries = np.frombuffer(q_vectors, dtype=np.int64).reshape(-1, dims)
-                for i, (q_id, q) in enumerate(zip(np.frombuffer(q_ids, dtype=np.int64).tolist(), queries, strict=True)):
-                    own = order[np.searchsorted(sorted_ids, q_id, "left") : np.searchsorted(sorted_ids, q_id, "right")]
-                    places, scores = index.search(q, k, own)
+                asked = np.frombuffer(q_ids, dtype=np.int64).tolist()
+                own = [order[np.searchsorted(sorted_ids, q, "left") : np.searchsorted(sorted_ids, q, "right")] for q in asked]
+                for i, (q_id, (places, scores)) in enumerate(zip(asked, index.search(queries, k, own), strict=True)):
                     best = np.lexsort((ids[places], -scores))[:k]
                     out.append(pd.DataFrame({"q_block": q_block, "q_row": i, "query_id": q_id, "vec_id": ids[places[best]], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("q_block", "q_row", "query_id", "vec_id", "score")})
