@@ -34,7 +34,7 @@ from .components import components
 
 COSINE = 0.93
 SHARD = 1500
-OVERLAP = 3
+OVERLAP = 2
 MAX_SHARD = 8192
 MAX_CENTRES = 256
 NEAREST, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
@@ -88,41 +88,47 @@ def robust_prune(x: np.ndarray, nearest: int = NEAREST, degree: int = DEGREE, al
     return out
 
 
-def range_search(x: np.ndarray, graph: list[np.ndarray], own: int, starts: list[int], cosine: float, beam: int) -> list[tuple[int, float]]:
-    """Nodes within ``cosine`` of node ``own``: a greedy beam search from ``starts``, whose
-    frontier goes on beyond the beam as long as it holds nodes in range."""
+def padded(graph: list[np.ndarray]) -> np.ndarray:
+    """Adjacency lists as rows of one matrix, filled with -1."""
+    out = np.full((len(graph), max(map(len, graph), default=0) or 1), -1, dtype=np.int64)
+    for i, near in enumerate(graph):
+        out[i, : len(near)] = near
+    return out
+
+
+def range_search(x: np.ndarray, graph: np.ndarray, own: int, starts: list[int], cosine: float, beam: int) -> np.ndarray:
+    """Nodes within ``cosine`` of node ``own``: a greedy beam search from ``starts`` that, as
+    soon as it meets nodes in range, expands all of them before it goes on."""
     q = x[own]
-    starts = list(dict.fromkeys(starts))
+    new = np.unique(starts)
     seen = np.zeros(len(x), dtype=bool)
-    seen[starts] = True
-    sims = x[starts] @ q
-    frontier = [(-s, i) for s, i in zip(sims.tolist(), starts, strict=True)]
-    heapq.heapify(frontier)
-    best = [-f[0] for f in frontier]
-    heapq.heapify(best)
-    found = [(i, -s) for s, i in frontier if -s >= cosine and i != own]
-    while frontier:
-        s, i = heapq.heappop(frontier)
-        if -s < cosine and len(best) >= beam and -s < best[0]:
-            break
-        new = graph[i]
-        new = new[~seen[new]]
-        if not len(new):
-            continue
-        seen[new] = True
-        for j, c in zip(new.tolist(), (x[new] @ q).tolist(), strict=True):
-            if c >= cosine:
-                if j != own:
-                    found.append((j, c))
-                heapq.heappush(frontier, (-c, j))
-            elif len(best) < beam or c > best[0]:
-                heapq.heappush(frontier, (-c, j))
+    seen[new] = True
+    frontier: list[tuple[float, int]] = []
+    best: list[float] = []
+    found = []
+    while True:
+        sims = x[new] @ q
+        inside = sims >= cosine
+        hot = new[inside]
+        found.append(hot)
+        for s, j in zip(sims[~inside].tolist(), new[~inside].tolist(), strict=True):
+            if len(best) < beam:
+                heapq.heappush(best, s)
+            elif s > best[0]:
+                heapq.heapreplace(best, s)
             else:
                 continue
-            heapq.heappush(best, c)
-            if len(best) > beam:
-                heapq.heappop(best)
-    return found
+            heapq.heappush(frontier, (-s, j))
+        if not len(hot):
+            if not frontier or (len(best) >= beam and -frontier[0][0] < best[0]):
+                break
+            hot = [heapq.heappop(frontier)[1]]
+        new = graph[hot].ravel()
+        new = np.unique(new[new >= 0])
+        new = new[~seen[new]]
+        seen[new] = True
+    out = np.concatenate(found)
+    return out[out != own]
 
 
 def _assign(shared, overlap: int):
@@ -187,14 +193,11 @@ def _search(cosine: float, beam: int):
         for near in pdf["near"]:
             at = np.minimum(np.searchsorted(sorted_ids, near), len(ids) - 1)
             graph.append(order[at[sorted_ids[at] == near]])
-        medoid = int(np.argmax(x @ x.mean(axis=0)))
-        a, b = [], []
-        for i in range(len(ids)):
-            for j, _ in range_search(x, graph, i, [medoid, i], cosine, beam):
-                # verified: range_search compares dot products of unit vectors in double precision
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)}).drop_duplicates()
+        lists, medoid = padded(graph), int(np.argmax(x @ x.mean(axis=0)))
+        # verified as found: range_search compares unit vectors in double precision
+        found = [range_search(x, lists, i, [medoid, i], cosine, beam) for i in range(len(ids))]
+        own, other = np.repeat(ids, [len(f) for f in found]), ids[np.concatenate(found)] if found else ids[:0]
+        return pd.DataFrame({"a": np.minimum(own, other), "b": np.maximum(own, other)}).drop_duplicates()
 
     return run
 
@@ -245,7 +248,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shard: int =
         links = scratch.keep(searched.distinct())
         if audit(reps, links, cosine) >= LEAST_RECALL:
             break
-        overlap, beam = overlap + 2, 2 * beam
+        overlap, beam = overlap + 1, 2 * beam
     many = member.select("rep", "many").distinct()
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(many.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("others"))
