@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished writes now. It does so when the
+    driver's garbage is collected, which may otherwise be long after the disk is needed."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, each under its own name.
 
@@ -45,6 +53,7 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        release(self.spark)
         return out
 
     def drop(self, df: DataFrame | None) -> None:
@@ -56,9 +65,34 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def batches_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def trim() -> None:
+    """Give memory back. Spark keeps Python workers for the next stage, so what one stage
+    needed would otherwise count beside what the next one needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A function over batches that gives its memory back at the end."""
 
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """A function of one group that gives its memory back."""
+
+    def wrapped(pdf):
+        out = run(pdf)
+        if len(pdf) > 200:
+            trim()
+        return out
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str | None]:
-    return iter(batch.column(name).to_pylist())
+    return wrapped
