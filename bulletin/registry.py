@@ -1,6 +1,393 @@
-"""Every query of the library by name, and SQL for each that SQL can express."""
+"""Every query of the library by name, and SQL for each that SQL can express.
+
+The synthetic tables stand in for notices: an order is a notice, its customer's nation the
+college, the region the campus, its lines the announcing sources; an event is a visit.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions import dates as D, predicates as P, text as T
+from .operators import counters, cube, dedup, links, maintain, resolve, serve, sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notices with college and campus."""
+    t = lambda n: table(spark, sf_dir, n)
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("college"), F.col("r_name").alias("campus"))
+    who = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "college", "campus")
+    return t("orders").join(who, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ord"), "college", "campus", F.col("o_orderdate").alias("start"), F.year("o_orderdate").cast("string").alias("year"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("title"))
+
+
+NOTICES = """n AS (
+  SELECT o_orderkey AS ord, n_name AS college, r_name AS campus, o_orderdate AS start, CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderstatus AS status, o_orderpriority AS title
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(f"WITH {NOTICES} SELECT college, year, CAST(count(*) AS BIGINT) AS n, CAST(grouping(college, year) AS INTEGER) AS level FROM n GROUP BY CUBE (college, year)")
+def cube_count(spark, sf_dir):
+    """A1, A2, A8."""
+    return cube.college_year_cube(notices(spark, sf_dir))
+
+
+@query(f"WITH {NOTICES} SELECT DISTINCT year FROM n")
+def year_list(spark, sf_dir):
+    """A4, O5."""
+    return cube.years(notices(spark, sf_dir))
+
+
+@query(f"WITH {NOTICES} SELECT college, arg_min(campus, ord) AS campus FROM n GROUP BY college")
+def campus_map(spark, sf_dir):
+    """A6."""
+    return cube.first_seen(notices(spark, sf_dir), "college", "campus", "ord")
+
+
+@query(f"WITH {NOTICES} SELECT college, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY college")
+def college_frequency(spark, sf_dir):
+    """A5."""
+    return cube.frequency(notices(spark, sf_dir), "college", "ord")
+
+
+@query("""WITH s AS (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY 1),
+r AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN NULL ELSE 3 END AS c, coalesce(k, 0) AS k FROM orders LEFT JOIN s ON l_orderkey = o_orderkey)
+SELECT CAST(count(*) AS BIGINT) AS "lectureCount", CAST(sum(coalesce(c, nullif(k, 0), 1)) AS BIGINT) AS "sourceNoticeCount" FROM r""")
+def source_notice_sum(spark, sf_dir):
+    """A3: the sources are an order's lines; a count of 0 is kept."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey")).alias("sources"))
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("sourceCount", F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") != "O", 3))
+    return cube.notice_count(rows)
+
+
+@query(f"""WITH {NOTICES}, c AS (SELECT user_id AS url, count(*) AS visits, count(*) FILTER (WHERE event_type = 'purchase') AS likes FROM events GROUP BY 1)
+SELECT college, year, CAST(count(*) AS BIGINT) AS n, CAST(sum(coalesce(visits, 0)) AS BIGINT) AS visits, CAST(sum(coalesce(likes, 0)) AS BIGINT) AS likes, CAST(grouping(college, year) AS INTEGER) AS level
+FROM n LEFT JOIN c ON url = ord GROUP BY CUBE (college, year)""")
+def stats_overlay(spark, sf_dir):
+    """J4, A7, A8."""
+    c = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("url")).agg(F.count("*").alias("visits"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("likes"))
+    return cube.measures(cube.with_counters(notices(spark, sf_dir), c, "ord"))
+
+
+@query(f"""WITH {NOTICES} SELECT college, year, CAST(count(*) AS BIGINT) AS n FROM n
+WHERE college IN (SELECT college FROM n WHERE campus = (SELECT min(campus) FROM n)) AND contains(lower(college), 'a') GROUP BY 1, 2""")
+def campus_facet(spark, sf_dir):
+    """J5, F13."""
+    n = notices(spark, sf_dir)
+    return cube.of_campus(n, n.join(n.agg(F.min("campus").alias("campus")), "campus", "left_semi").select("college", "campus"), None, " A ").groupBy("college", "year").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+SELECT CAST(year(day) AS INTEGER) AS year, {', '.join(f"CAST(coalesce(sum(n) FILTER (WHERE month(day) = {m}), 0) AS BIGINT) AS m{m:02d}" for m in range(1, 13))} FROM d GROUP BY 1""")
+def year_month_matrix(spark, sf_dir):
+    """A9."""
+    return cube.year_month_matrix(table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n")))
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS day_sum, CAST(count(*) AS BIGINT) AS n_days, min(day) AS first_day, max(day) AS last_day, CAST(greatest(1, max(n)) AS BIGINT) AS max_cell, CAST(greatest(0, 20000 - sum(n)) AS BIGINT) AS legacy FROM d""")
+def visit_summary(spark, sf_dir):
+    """A10."""
+    return cube.visit_summary(table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n")), 20000)
+
+
+def documents_as_notices(spark, sf_dir):
+    """Documents as notices: language as college, source as campus."""
+    d = table(spark, sf_dir, "documents")
+    start = F.when(F.col("doc_id") % 7 != 0, F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")), "yyyy-MM-dd"), F.lit(" 09:00:00")))
+    return d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("https://x.test/"), F.col("doc_id").cast("string")).alias("sourceUrl"), F.col("lang").alias("college"), F.col("source").alias("campus"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("abstract"), start.alias("lectureStart"))
+
+
+DOCS = """d AS (SELECT doc_id AS ord, 'https://x.test/' || doc_id AS "sourceUrl", lang AS college, source AS campus, substring(text, 1, 60) AS title, text AS abstract,
+  CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER), '%Y-%m-%d') || ' 09:00:00' END AS "lectureStart" FROM documents)"""
+
+
+@query(f"""WITH {DOCS} SELECT ord, college, campus FROM d WHERE college = 'en' AND campus = 'src3' AND contains(lower(concat_ws(' ', title, college)), 'the')""")
+def facet_search(spark, sf_dir):
+    """F10, F11."""
+    return serve.search(documents_as_notices(spark, sf_dir), campus="src3", college="en", query=" THE ").select("ord", "college", "campus")
+
+
+@query(f"""WITH {DOCS}, r AS (SELECT ord, row_number() OVER (ORDER BY "lectureStart" DESC NULLS LAST, ord) AS k FROM d WHERE college = 'en') SELECT ord FROM r WHERE k BETWEEN 51 AND 75""")
+def page_slice(spark, sf_dir):
+    """O1, W8."""
+    rows = serve.search(documents_as_notices(spark, sf_dir), college="en")
+    return serve.page(rows, 3, serve.newest_first()).select("ord")
+
+
+@query(f"""WITH {DOCS} SELECT ord, "lectureStart", substring(abstract, 1, 220) AS abstract FROM d ORDER BY "lectureStart" DESC NULLS FIRST, ord LIMIT 50""")
+def latest_previews(spark, sf_dir):
+    """O2, P2."""
+    return serve.latest(documents_as_notices(spark, sf_dir)).select("ord", "lectureStart", "abstract")
+
+
+@query(f"""WITH {DOCS} SELECT coalesce(substring("lectureStart", 1, 10), '-') AS date, ord, CAST(row_number() OVER (PARTITION BY substring("lectureStart", 1, 10) ORDER BY "lectureStart" DESC NULLS LAST, ord) AS INTEGER) AS place FROM d""")
+def day_groups(spark, sf_dir):
+    """A17, O3, O6."""
+    rows = serve.by_day(documents_as_notices(spark, sf_dir).withColumn("title", F.lit("")))
+    return rows.select(F.coalesce(F.substring("lectureStart", 1, 10), F.lit("-")).alias("date"), "ord", "place")
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang, text ORDER BY CASE WHEN source IN ('src1', 'src2') THEN 0 ELSE 1 END DESC, doc_id) AS k FROM documents) SELECT doc_id FROM r WHERE k = 1""")
+def dedup_best(spark, sf_dir):
+    """Of documents alike the one with the better score, the first of equals."""
+    d = table(spark, sf_dir, "documents")
+    return dedup.keep_best(d, [F.col("lang"), F.col("text")], F.when(F.col("source").isin("src1", "src2"), 0).otherwise(1), "doc_id").select("doc_id")
+
+
+@query("""WITH l AS (SELECT c_nationkey AS g, c_custkey AS o, c_name AS t, substring(c_name, 10, 9) AS k FROM customer),
+b AS (SELECT g, o, k, list_distinct(list_concat(list_transform(range(1, length(k)), lambda i: substring(k, i, 2)), [k])) AS s FROM l),
+p AS (SELECT a.o AS a, b.o AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS x, len(b.s) AS y FROM b a JOIN b ON a.g = b.g AND a.o < b.o)
+SELECT a, b, round(CAST(i AS DOUBLE) / (x + y - i), 6) AS similarity FROM p WHERE CAST(i AS DOUBLE) / (x + y - i) >= 0.6""")
+def near_dup_pairs(spark, sf_dir):
+    """Customers of one nation whose numbers share most pairs of digits."""
+    k = F.substring("c_name", 10, 9)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("sourceUrl"), k.alias("title"), F.lit(None).cast("string").alias("topic"))
+    return resolve.similar_pairs(rows, 0.6, ("g",)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_partkey AS a, min(l_orderkey) AS b FROM lineitem WHERE l_quantity >= 49 GROUP BY 1),
+l AS (SELECT x.l_orderkey AS a, e.b FROM lineitem x JOIN e ON x.l_partkey = e.a WHERE x.l_quantity >= 49),
+s AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
+r(n, m) AS (SELECT a, a FROM s UNION SELECT r.n, s.b FROM r JOIN s ON r.m = s.a)
+SELECT n AS node, min(m) AS cluster FROM r GROUP BY n""")
+def clusters(spark, sf_dir):
+    """Orders linked by a part of which both bought much."""
+    x = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
+    first = x.groupBy("l_partkey").agg(F.min("l_orderkey").alias("b"))
+    return resolve.close(x.join(first, "l_partkey").select(F.col("l_orderkey").alias("a"), "b").filter("a <> b"))
+
+
+@query()
+def merged_notices(spark, sf_dir):
+    """Events as announcements of one speaker on a day by several colleges."""
+    e = table(spark, sf_dir, "events")
+    c = lambda x: F.col(x).cast("string")
+    none = F.lit(None).cast("string")
+    rows = e.select(F.col("event_id").alias("ord"), F.concat(F.lit("u"), c("event_id")).alias("sourceUrl"), F.col("event_type").alias("college"), none.alias("campus"), F.concat(F.lit("讲座 "), c("user_id")).alias("title"), none.alias("topic"), F.concat(F.lit("王"), F.translate(c("user_id"), "0123456789", "甲乙丙丁戊己庚辛壬癸")).alias("speaker"), F.date_format("ts", "yyyy-MM-dd 00:00:00").alias("lectureStart"), F.when(F.col("value") > 50, "hall").alias("location"), *(none.alias(x) for x in ("speakerTitle", "speakerAffiliation", "speakerBio", "organizer")), F.lit(None).cast("array<struct<sourceUrl:string,college:string,campus:string,title:string>>").alias("sources"), F.lit(None).cast("boolean").alias("merged"), F.lit(None).cast("int").alias("sourceCount"))
+    return resolve.resolve(rows).select("ord", "college", "location", "merged", "sourceCount", F.array_join(F.transform("sources", lambda s: s["college"]), ",").alias("others"))
+
+
+@query()
+def link_extract(spark, sf_dir):
+    """P5: every link of every page, by an HTML parser."""
+    return links.extract(table(spark, sf_dir, "pages"))
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = d.doc_id)""")
+def incremental_anti(spark, sf_dir):
+    """Documents that are neither labelled nor excluded."""
+    url = lambda c: F.concat(F.lit("https://x.test/"), F.col(c).cast("string"), F.lit("/")).alias("url")
+    d = table(spark, sf_dir, "documents").select(url("doc_id"), F.lit("s").alias("source"))
+    return maintain.unseen(d, table(spark, sf_dir, "labels").select(url("doc_id")), table(spark, sf_dir, "benchmark").select(url("item_id"))).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, coalesce(CAST(l.quality AS BIGINT), d.n_chars) AS v FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+def upsert_rows(spark, sf_dir):
+    """Labels win over documents."""
+    d = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.col("n_chars").alias("v"))
+    fresh = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("v"))
+    return maintain.upsert(d, fresh, "doc_id", "doc_id")
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)),
+h AS (SELECT l_partkey AS k, min(l_orderkey) AS owner FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1)
+SELECT m.k, owner, CASE WHEN owner IS NULL THEN 'orphan' ELSE 'swallowed' END AS state FROM m LEFT JOIN h USING (k)""")
+def diff_audit(spark, sf_dir):
+    """Missing customers, and the first order whose parts hold their number."""
+    missing = maintain.difference(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")), "k")
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_orderkey").alias("ord"), F.array(F.struct(F.col("l_partkey").alias("sourceUrl"))).alias("sources"))
+    return maintain.audit_missing(missing.withColumnRenamed("k", "sourceUrl"), held.withColumnRenamed("k", "sourceUrl")).withColumnRenamed("sourceUrl", "k")
+
+
+@query("""SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'patched' ELSE s_name END AS name FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT -n_nationkey - 1, n_name FROM nation""")
+def overlay_patch(spark, sf_dir):
+    """J9."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    patch = s.filter("k % 5 = 0").select("k", F.lit("patched").alias("name"))
+    added = table(spark, sf_dir, "nation").select((-F.col("n_nationkey").cast("bigint") - 1).alias("k"), F.col("n_name").alias("name"))
+    return maintain.overlay(s, patch, s.filter("k % 7 = 0"), added, "k", ["name"])
+
+
+@query("""SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NULL THEN a.v ELSE b.v END AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, CAST(NULL AS DOUBLE) AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+def map_merge(spark, sf_dir):
+    """Whole rows of the right table win, nulls included."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return maintain.right_wins(c.filter("k % 2 = 0"), c.filter("k % 3 = 0").withColumn("v", F.lit(None).cast("double")), "k")
+
+
+@query("""SELECT s_suppkey AS k, greatest(0, s_acctbal, coalesce(p_retailprice, 0)) AS v FROM supplier LEFT JOIN part ON p_partkey = s_suppkey""")
+def greatest_merge(spark, sf_dir):
+    """J11."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.greatest(F.lit(0), F.col("s_acctbal")).alias("v"))
+    return maintain.greatest_merge(s, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v")), "k", "v")
+
+
+ACCEPTED = """RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+a(user_id, k, last, hit) AS (
+  SELECT user_id, k, ts, true FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.k, CASE WHEN e.ts - a.last >= INTERVAL 6 HOUR THEN e.ts ELSE a.last END, e.ts - a.last >= INTERVAL 6 HOUR FROM a JOIN e ON e.user_id = a.user_id AND e.k = a.k + 1)"""
+
+
+@query(f"WITH {ACCEPTED} SELECT user_id, last AS ts FROM a WHERE hit")
+def throttle_visits(spark, sf_dir):
+    """Six hours, at which the last accepted visit matters."""
+    return counters.accepted(table(spark, sf_dir, "events"), ["user_id"], seconds=6 * 3600)
+
+
+@query(f"WITH {ACCEPTED} SELECT CAST(last AS DATE) AS day, CAST(count(*) AS BIGINT) AS n FROM a WHERE hit GROUP BY 1")
+def day_counter(spark, sf_dir):
+    """A14."""
+    return counters.per_day(counters.accepted(table(spark, sf_dir, "events"), ["user_id"], seconds=6 * 3600))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'error')),
+a(user_id, k, n) AS (SELECT user_id, k, greatest(0, d) FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, greatest(0, a.n + e.d) FROM a JOIN e ON e.user_id = a.user_id AND e.k = a.k + 1)
+SELECT user_id, CAST(arg_max(n, k) AS BIGINT) AS likes FROM a GROUP BY 1""")
+def like_floor(spark, sf_dir):
+    """A15."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error")).withColumn("d", F.when(F.col("event_type") == "purchase", 1).otherwise(-1))
+    return counters.likes(e, "user_id", "d", ["ts", "event_id"])
+
+
+@query("""SELECT v.event_id, p.event_id AS next_value FROM (SELECT * FROM events WHERE event_type = 'view') v ASOF LEFT JOIN (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON v.user_id = p.user_id AND v.ts <= p.ts""")
+def next_event_asof(spark, sf_dir):
+    """Each view's next purchase by its user."""
+    e = table(spark, sf_dir, "events")
+    return sessions.next_value(e, "user_id", "ts", "event_type", "view", "purchase", "event_id").select("event_id", "next_value")
+
+
+@query("""SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 99) AS "end" FROM conversations""")
+def block_bounds(spark, sf_dir):
+    """W2."""
+    return sessions.block_ends(table(spark, sf_dir, "conversations").withColumn("len", F.lit(99).cast("bigint")), "conv_id", "turn", "len").select("conv_id", "turn", "end")
+
+
+@query("""SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS role FROM conversations""")
+def turn_inherit(spark, sf_dir):
+    """W4."""
+    c = table(spark, sf_dir, "conversations").withColumn("role", F.when(F.col("turn") % 3 == 0, F.col("role")))
+    return sessions.inherit(c, "conv_id", "turn", "role").select("conv_id", "turn", "role")
+
+
+@query("""SELECT conv_id, turn, CAST(row_number() OVER w + 4 AS INTEGER) AS "lectureIndex", CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER) AS "lectureCount", CASE WHEN row_number() OVER w = 1 THEN 1 ELSE 0 END AS "sourceCount" FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def numbering(spark, sf_dir):
+    """W5."""
+    return sessions.number(table(spark, sf_dir, "conversations"), "conv_id", "turn", 5).select("conv_id", "turn", "lectureIndex", "lectureCount", "sourceCount")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, l_returnflag AS f, arg_max(l_partkey, l_linenumber * 10000000 + l_partkey) AS v, min(l_linenumber * 10000000 + l_partkey) AS slot FROM lineitem GROUP BY 1, 2) SELECT * FROM s""")
+def last_in_first_slot(spark, sf_dir):
+    """W3."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"), F.col("l_partkey").alias("v"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("pos"))
+    return sessions.last_in_first_slot(rows, "k", "f", "pos", "v")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS pos, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus) AS slot, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) SELECT k, pos, slot FROM r WHERE n = 1""")
+def session_dedup(spark, sf_dir):
+    """W6."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("topic"), F.col("l_linestatus").alias("start"), F.col("l_quantity").alias("rich"))
+    return sessions.dedup_sessions(rows, "k", "topic", "start", "rich", "pos").select("k", "pos", "slot")
+
+
+def _literals(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    say = lambda v: "NULL" if v is None else ("true" if v is True else "false" if v is False else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'")
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) AS t({names})"
+
+
+TITLES = [("学术 报告通知 2026-06-25", "学术报告通知"), ("讲座2026-06-25（石牌）", "讲座"), ("讲座（石牌）2026-06-25", "讲座（石牌）"), ("a b(c)", "ab")]
+SPEAKERS = [("李四教授", "李四"), ("张三副教授", "张三副"), ("教授", "教授"), (" 王五 讲师", "王五")]
+URL_DATES = [("https://x.test/a/20251201/x.html", "2025-12-01"), ("https://x.test/a/2025/0507/x.html", "2025-05-07"), ("https://x.test/x/2025/1028/x.html", "2025-10-28"), ("https://x.test/a/20251301/x.html", None), ("https://x.test/q/2025/1/8/x.htm", "2025-01-08")]
+NEXT_PAGES = [("/xs/2.html", "/xs/3.html"), ("/xs/", "/xs/2.html"), ("/xs/index.html", None)]
+YEARS = [("2025-07-02 15:00:00", None, "x", "2025"), (None, "2024-01-05", "x", "2024"), (None, None, "研讨2023年", "2023"), (None, None, "研讨", "其他")]
+LATE = [("2025-05-31 00:00:00", "2025-05-31 20:00:00", False), ("2025-05-31 15:00:00", "2025-05-31 20:00:00", True), ("2025-05-31 15:00:00", "2025-06-02", False), (None, "2025-06-02 00:00:00", False)]
+NAMES = [("张三", True), ("12 ,", False), ("通知", False), ("王", False)]
+NEWS = [("我院举办学术讲座", "", "title-conduct"), ("关于举办学术讲座的通知", "", None), ("讲座回顾：诗歌", "", "title-retro"), ("回顾与展望", "", None), ("论坛圆满落幕", "", "title-done"), ("x", "初审：甲 复审：乙 终审：丙", "signature-block"), ("x", "讲座圆满结束。", "retro-summary"), ("我院师生参加会议", "", "title-participate"), ("x", "2025年5月3日，报告会在礼堂顺利举办", "narrative-completion")]
+SEGMENTS = [("2025年6月3日 下午3点半", "2025-06-03 15:30:00", None), ("时间：2025-06-03 14:30-16:00", "2025-06-03 14:30:00", "2025-06-03 16:00:00"), ("6月3日 上午9：00", "2024-06-03 09:00:00", None), ("06/10", "2024-06-10 00:00:00", None), ("2025年2月30日", None, None), ("2025年6月3日 25:00", "2025-06-03 00:00:00", None), ("none", None, None)]
+
+
+@query(_values(TITLES, "title, bare"))
+def normalised_titles(spark, sf_dir):
+    """C1."""
+    return _literals(spark, [(a,) for a, _ in TITLES], "title string").withColumn("bare", T.normalize_title(F.col("title")))
+
+
+@query(_values(SPEAKERS, "speaker, bare"))
+def normalised_speakers(spark, sf_dir):
+    """C2."""
+    return _literals(spark, [(a,) for a, _ in SPEAKERS], "speaker string").withColumn("bare", T.normalize_speaker(F.col("speaker")))
+
+
+@query(_values(URL_DATES, "url, day"))
+def url_dates(spark, sf_dir):
+    """D11."""
+    return _literals(spark, [(a,) for a, _ in URL_DATES], "url string").withColumn("day", D.date_in_url(F.col("url")).cast("string"))
+
+
+@query(_values(NEXT_PAGES, "url, following"))
+def next_pages(spark, sf_dir):
+    """D19."""
+    return _literals(spark, [(a,) for a, _ in NEXT_PAGES], "url string").withColumn("following", D.next_page(F.col("url")))
+
+
+@query(_values(YEARS, "s, p, t, year"))
+def notice_years(spark, sf_dir):
+    """D17."""
+    return _literals(spark, [r[:3] for r in YEARS], "s string, p string, t string").withColumn("year", D.year_of(F.col("s"), F.col("p"), F.col("t")))
+
+
+@query(_values(LATE, "s, p, late"))
+def late_notices(spark, sf_dir):
+    """F5."""
+    return _literals(spark, [r[:2] for r in LATE], "s string, p string").withColumn("late", P.is_late(F.col("s"), F.col("p"), F.lit(None).cast("string")))
+
+
+@query(_values(NAMES, "name, ok"))
+def speaker_names(spark, sf_dir):
+    """F14."""
+    return _literals(spark, [r[:1] for r in NAMES], "name string").withColumn("ok", P.is_speaker(F.col("name")))
+
+
+@query(_values(NEWS, "title, body, rule"))
+def news_rules(spark, sf_dir):
+    """F6-F8."""
+    return _literals(spark, [r[:2] for r in NEWS], "title string, body string").withColumn("rule", P.news_rule(F.col("title"), F.col("body"), F.lit(None).cast("string")))
+
+
+@query(_values(SEGMENTS, "seg, s, e"))
+def segment_times(spark, sf_dir):
+    """D1-D3."""
+    t = D.segment_time(F.col("seg"), F.lit(2024), F.lit(None).cast("date"))
+    return _literals(spark, [r[:1] for r in SEGMENTS], "seg string").withColumns({"s": t["start"].cast("string"), "e": t["end"].cast("string")})
+
+
+@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'copyright') THEN 'a' WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'b' WHEN starts_with(text, 'The') THEN 'c' END AS rule FROM documents""")
+def classify_first_rule(spark, sf_dir):
+    """F6's shape over all documents: the first rule that holds."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.lower(t).contains("copyright"), "a").when(t.rlike("[0-9]{3}-[0-9]{4}"), "b").when(t.startswith("The"), "c").alias("rule"))

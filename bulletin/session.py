@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,3 +34,12 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in found:
         env["PYTHONPATH"] = os.pathsep.join([root, *found])
     return spark
+
+
+def ready_to_checkpoint(spark: SparkSession) -> None:
+    """See that checkpoints have a folder: the shared one that spark.checkpoint.dir names,
+    and only where that is unset one of this machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "bulletin-checkpoints"))
