@@ -14,11 +14,12 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 _PAIR = "a bigint, b bigint"
 
 
+@tidy
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root: dict[int, int] = {}
 

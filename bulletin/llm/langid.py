@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import tidy
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 3000
 MAX_WORDS = 20_000
@@ -44,6 +46,7 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if len(marked) > n else [marked]
 
 
+@tidy
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, word, n), summed within the task up to a bound."""
     held: Counter = Counter()
@@ -114,6 +117,7 @@ class _Scores(dict):
 
 
 def _predictor(shared, cache_words: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = _Scores(model, cache_words) if model else None

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidy
+
 #: Phrases whose places are counted, and their labels: fixed values.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -190,6 +192,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     """Counts, labels and spans of every row of ``docs`` (doc_id, text)."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = Automaton(templates, phrases)
         for batch in batches:

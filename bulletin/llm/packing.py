@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .tokens import default_path, json_encoding
 
 CAPACITY = 1024
@@ -53,6 +53,7 @@ def cut(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPA
     path = tokenizer_path or default_path("byte_bpe_50k.json")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = json_encoding(path)
         tail = np.array([end_id], dtype="<u4")
@@ -92,6 +93,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _packer(round_no: int, capacity: int, slack: int, max_units: int, last: bool):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = (round_no << 56) | (TaskContext.get().partitionId() << 32), 0
 
@@ -156,4 +158,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK) -> DataFrame:
     """One row per piece of every document, with its sequence and place there."""
-    return pack(cut(docs, tokenizer_path, capacity, end_id), capacity, slack)
+    # kept, so that a task never runs the tokenizer and the packer at once
+    pieces = Scratch(docs.sparkSession, "pieces").keep(cut(docs, tokenizer_path, capacity, end_id))
+    return pack(pieces, capacity, slack)

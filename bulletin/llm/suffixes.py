@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 THRESHOLD = 400
 #: Bytes of a text that are hashed at once; longer texts go piece by piece.
@@ -156,6 +156,7 @@ def _grouped(batch: pa.RecordBatch, threshold: int) -> Iterator[tuple[list[tuple
 
 
 def _find_anchors(threshold: int, gram: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, data, ends in _grouped(batch, threshold):
@@ -177,6 +178,7 @@ def _cut_blocks(threshold: int, gram: int, step: int):
     blocks = -(-w // step)
     names = ["doc_id", "text_hash", "core1", "core2", "left", "right", "start"]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(2).to_pylist()
@@ -252,6 +254,7 @@ def window_masks(group: np.ndarray, left: list[bytes], right: list[bytes], count
 def _compare(side: int):
     """Distinct contexts sorted by core -> the same with their masks, where any bit is set."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
@@ -347,6 +350,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row of ``docs``."""
     span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
