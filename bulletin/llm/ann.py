@@ -6,8 +6,11 @@ takes its nearest ones and prunes them robustly (a neighbour goes if one already
 closer to it by the factor alpha). The adjacency lists of all shards are united. Every
 vector then searches the united graph among its shards' vectors: greedily with a beam from
 the medoid and from its own node, then expanding the range while links are found. Links are
-verified in double precision, recall is audited on a bounded sample against all rows, and
-the search repeats with a wider beam and more overlap if recall is too low.
+verified in double precision. What the links join is a family, however many shards it is
+spread over: all its pairs are compared in blocks, so that pairs without a common shard
+count too. Recall is audited on a bounded sample against all rows, and the search repeats
+with a wider beam and more overlap if recall is too low; if the last try is too low as well,
+all pairs of each label are compared in blocks instead.
 
 Equal vectors are one class first, with their number, so copies cost nothing. Shards over
 ``max_shard`` vectors are cut again around centres of their own.
@@ -29,18 +32,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy_group
 from .components import components
 
 COSINE = 0.93
 SHARD = 1500
-OVERLAP = 2
+OVERLAP = 3
 MAX_SHARD = 8192
 MAX_CENTRES = 256
 NEAREST, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
 AUDIT_QUERIES = 128
 LEAST_RECALL = 0.98
 TRIES = 3
+#: Rows of a block when all pairs of a group are compared.
+BLOCK = 2048
 
 
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +235,52 @@ def audit(reps: DataFrame, links: DataFrame, cosine: float, queries: int = AUDIT
     return r.hits / r.n if r.n else 1.0
 
 
+def _compare(cosine: float):
+    @tidy_group
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        left, right = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64)})
+        codes = pd.factorize(pdf["family"])[0]
+        own, other = codes[(pdf["block"] == lo).to_numpy()], codes[(pdf["block"] == hi).to_numpy()]
+        x, y, i, j = _matrix(left["v"]), _matrix(right["v"]), left["rep"].to_numpy(), right["rep"].to_numpy()
+        a, b = [i[:0]], [i[:0]]
+        for at in range(0, len(x), 256):
+            near = (x[at : at + 256] @ y.T >= cosine) & (own[at : at + 256, None] == other[None, :])
+            p, q = np.nonzero(near)
+            p, q = i[at + p], j[q]
+            p, q = p[p != q], q[p != q]
+            a.append(np.minimum(p, q))
+            b.append(np.maximum(p, q))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+    return run
+
+
+def all_pairs(members: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """a, b: every link within a family of ``members`` (family, rep, v; vectors of a family
+    are of one length). Large families are dealt in blocks, of which every two meet in a
+    task; small ones share a task."""
+    size = F.length("v").cast("string")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"))
+    total = members.count()
+    some = max(1, -(-total // block))
+    rows = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    small = rows.filter("blocks = 1").select(F.concat_ws(":", F.lit("s"), size, F.pmod(F.xxhash64("family"), F.lit(some)).cast("string")).alias("task"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), "family", "rep", "v")
+    large = rows.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    large = large.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select(F.concat_ws(":", F.lit("l"), "family").alias("task"), F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"), "block", "family", "rep", "v")
+    return small.unionByName(large).groupBy("task", "lo", "hi").applyInPandas(_compare(cosine), "a bigint, b bigint")
+
+
+def completed(reps: DataFrame, links: DataFrame, tops: DataFrame, cosine: float) -> DataFrame:
+    """``links`` and all others between vectors that they join, directly or not."""
+    families = tops.select(F.col("node").alias("rep"), F.col("component").cast("string").alias("family"))
+    big = families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 2").select("family")  # two are linked
+    return links.unionByName(all_pairs(reps.join(families.join(big, "family"), "rep").select("family", "rep", "v"), cosine)).distinct()
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shard: int = SHARD, overlap: int = OVERLAP, max_shard: int = MAX_SHARD, beam: int = BEAM) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``embeddings`` (vec_id,
     embedding, label)."""
@@ -245,14 +296,20 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shard: int =
         built = shards.groupBy("shard").applyInPandas(_build(NEAREST, DEGREE, ALPHA), "rep bigint, near array<bigint>")
         graph = scratch.keep(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
         searched = shards.join(graph, "rep").groupBy("shard").applyInPandas(_search(cosine, beam), "a bigint, b bigint")
-        links = scratch.keep(searched.distinct())
+        found = scratch.keep(searched.distinct())
+        tops = components(found)
+        links = scratch.keep(completed(reps, found, tops, cosine))
         if audit(reps, links, cosine) >= LEAST_RECALL:
             break
         overlap, beam = overlap + 1, 2 * beam
+    else:  # no try was good enough: compare everything
+        whole = reps.select(F.concat_ws(":", F.length("v").cast("string"), "label").alias("family"), "rep", "v")
+        links = scratch.keep(all_pairs(whole, cosine).distinct())
+        tops = components(links)
     many = member.select("rep", "many").distinct()
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(many.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("others"))
-    tops = components(links).withColumnRenamed("node", "rep")
+    tops = tops.withColumnRenamed("node", "rep")
     linked = member.join(others, "rep", "left").join(tops, "rep", "left")
     linked = linked.groupBy("vec_id").agg(F.sum(F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("vec_id").join(linked, "vec_id", "left")

@@ -79,6 +79,27 @@ def test_large_shards_are_cut_again(spark):
     assert sum(got.values()) >= 0.9 * sum(x for x, _ in want.values()) and all(got[i] <= want[i][0] for i in want)
 
 
+def family(seed, n, spread, dims=16):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(0, 1, dims)
+    return [(1 + i, [float(np.float32(x)) for x in middle + rng.normal(0, spread, dims)], 1) for i in range(n)]
+
+
+def test_families_across_shards_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(ann.all_pairs, "__defaults__", (100,))
+    rows = family(6, 300, 0.15) + [(i + 1000, e, label) for i, e, label in clustered(7, 60)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ann.near_duplicates(vectors(spark, rows), shard=30).collect()}
+    assert {i: g for i, g in got.items() if i <= 300} == {i: w for i, w in brute_links([r for r in rows if len(r[1]) == 16]).items() if i <= 300}
+
+
+def test_failed_audits_end_in_a_whole_comparison(spark, monkeypatch):
+    monkeypatch.setattr(ann, "audit", lambda *_: 0.0)
+    monkeypatch.setattr(ann, "TRIES", 1)
+    rows = clustered(8, 200)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ann.near_duplicates(vectors(spark, rows), shard=40, overlap=1, beam=1).collect()}
+    assert got == brute_links(rows)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
