@@ -34,6 +34,8 @@ MAX_GRAMS = 4_000
 LONGEST = 5
 #: Words that a worker remembers between texts.
 CACHE_WORDS = 200_000
+#: Grams of this length tell words from gibberish, once a model knows enough of them.
+KNOWN_GRAM, ENOUGH_GRAMS = 3, 500
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -100,12 +102,24 @@ class Model:
         return np.zeros(len(self.langs), dtype=np.float32)
 
 
+    def known_grams(self, word: str) -> tuple[int, int]:
+        """How many grams of a word were learnt in any language, of how many; scripts
+        without case, whose words are seldom parted, go by single letters. A model that
+        has learnt little knows all."""
+        n = min(KNOWN_GRAM, self.longest) if word.upper() != word else 1
+        grams = grams_of(word, n)
+        if len(self.grams[min(KNOWN_GRAM, self.longest)]) < ENOUGH_GRAMS:
+            return len(grams), len(grams)
+        return sum(g in self.grams[n] for g in grams), len(grams)
+
+
 class _Scores(dict):
     """word -> row of a score table, filled when a word is first met; begun anew when full."""
 
     def __init__(self, model: Model, size: int):
         super().__init__()
         self.model, self.rows = model, np.empty((size, len(model.langs)), dtype=np.float32)
+        self.grams: dict[str, tuple[int, int]] = {}
 
     def __missing__(self, word: str) -> int:
         k = len(self)
@@ -115,26 +129,37 @@ class _Scores(dict):
         self[word] = k
         return k
 
+    def share(self, words: list[str]) -> float:
+        """The share of known grams in the words of a text."""
+        for w in words:
+            if w not in self.grams:
+                self.grams[w] = self.model.known_grams(w)
+        return sum(self.grams[w][0] for w in words) / sum(self.grams[w][1] for w in words)
+
 
-def _predictor(shared, cache_words: int):
+def _predictor(shared, cache_words: int, with_share: bool):
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = _Scores(model, cache_words) if model else None
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, shares = [], [], []
             for text in batch.column(2).to_pylist():
-                lang, score = UNKNOWN, 0.0
+                lang, score, share = UNKNOWN, 0.0, 0.0
                 if known is not None and text and any(map(str.isalpha, text)):
                     if len(known) > cache_words * 3 // 4:
                         known = _Scores(model, cache_words)
-                    if rows := [known[w] for w in words_of(text)]:
+                    words = words_of(text)
+                    if rows := [known[w] for w in words]:
                         mean = known.rows[rows].mean(axis=0, dtype=np.float64)
                         best = int(mean.argmax())
                         lang, score = model.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+                        share = known.share(words) if with_share else share
                 langs.append(lang)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.column(3)], names=["doc_id", "held_out", "lang_pred", "score", "text_hash"])
+                shares.append(share)
+            more = [pa.array(shares, pa.float64())] if with_share else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.column(3), *more], names=["doc_id", "held_out", "lang_pred", "score", "text_hash", "known"][: 5 + len(more)])
 
     return run
 
@@ -166,13 +191,14 @@ def held_out_rows() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model | None, cache_words: int = CACHE_WORDS) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, cache_words: int = CACHE_WORDS, with_share: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out_rows().alias("held_out"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(_predictor(shared, cache_words), "doc_id bigint, held_out boolean, lang_pred string, score double, text_hash bigint")
+    return rows.mapInArrow(_predictor(shared, cache_words, with_share), "doc_id bigint, held_out boolean, lang_pred string, score double, text_hash bigint" + ", known double" * with_share)
 
 
-def identify(docs: DataFrame, **params) -> DataFrame:
+def identify(docs: DataFrame, with_share: bool = False, **params) -> DataFrame:
     """doc_id, held_out, lang_pred, score, text_hash (Spark's xxhash64) of every row of
-    ``docs`` (doc_id, text, lang)."""
-    return predict(docs, fit(docs.filter(~held_out_rows() & F.col("doc_id").isNotNull()), **params))
+    ``docs`` (doc_id, text, lang); ``with_share`` adds known, the share of its grams that
+    the model knows."""
+    return predict(docs, fit(docs.filter(~held_out_rows() & F.col("doc_id").isNotNull()), **params), with_share=with_share)

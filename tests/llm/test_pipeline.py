@@ -1,6 +1,7 @@
 """The pipeline against its parts, and the registered queries of the operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bulletin.llm import queries
@@ -31,6 +32,17 @@ def test_stages_decide(spark, sf_dir):
     assert cut[1].n_chars == 0
 
 
+def test_lettered_gibberish_goes(spark, sf_dir, documents):
+    short = ["Erinst resh.", "That it.", "Pachque çaneux et.", "The cat sat on the mat."]
+    junk = ["zxqv kjwq", "xqzj vkq wxz jjq", "漢字かな", "qwpfxz vbkkj zzxw kqj " * 20]
+    rows = [(10_000_000 + i, t, "en", "s", len(t)) for i, t in enumerate(short + junk)]
+    docs = documents.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("lang", F.lit(None).cast("string")))
+    kept = sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf_dir).select("doc_id").collect())
+    assert [i for i in kept if i >= 10_000_000] == [10_000_000 + i for i in range(len(short))]
+    clean = [r.doc_id for r in documents.filter(F.col("text").rlike("[a-zA-Z]")).select("doc_id").collect()]
+    assert [i for i in kept if i < 10_000_000] == sorted(clean)
+
+
 def test_run_is_its_stages(spark, sf_dir, documents):
     docs = documents
     for _, stage in corpus_pipeline.STAGES:
