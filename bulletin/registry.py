@@ -331,6 +331,32 @@ NEWS = [("我院举办学术讲座", "", "title-conduct"), ("关于举办学术
 SEGMENTS = [("2025年6月3日 下午3点半", "2025-06-03 15:30:00", None), ("时间：2025-06-03 14:30-16:00", "2025-06-03 14:30:00", "2025-06-03 16:00:00"), ("6月3日 上午9：00", "2024-06-03 09:00:00", None), ("06/10", "2024-06-10 00:00:00", None), ("2025年2月30日", None, None), ("2025年6月3日 25:00", "2025-06-03 00:00:00", None), ("none", None, None)]
 
 
+@query()
+def document_titles(spark, sf_dir):
+    """C1, F6-F8, F14 over every document."""
+    t, none = F.col("text"), F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(t).alias("bare"), T.normalize_speaker(t).alias("speaker"), P.is_speaker(t).alias("ok"), P.news_rule(t, t, none).alias("rule"))
+
+
+@query()
+def page_dates(spark, sf_dir):
+    """D11, D19 over the address of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", D.date_in_url(F.col("url")).cast("string").alias("day"), D.next_page(F.col("url")).alias("following"))
+
+
+@query()
+def document_times(spark, sf_dir):
+    """D1-D3, D17 over the text of every document."""
+    seg, none = D.segment_time(F.col("text"), F.lit(2024), F.lit(None).cast("date")), F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", D.year_of(none, none, F.col("text")).alias("year"), seg["start"].cast("string").alias("s"), seg["end"].cast("string").alias("e"))
+
+
+@query()
+def late_events(spark, sf_dir):
+    """F5 over every event: held at its time, published on the next day."""
+    return table(spark, sf_dir, "events").select("event_id", P.is_late(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.date_format(F.date_add("ts", 1), "yyyy-MM-dd 00:00:00"), F.lit(None).cast("string")).alias("late"))
+
+
 @query(_values(TITLES, "title, bare"))
 def normalised_titles(spark, sf_dir):
     """C1."""

@@ -41,3 +41,13 @@ def test_entry_runs_without_the_training_operators(spark, monkeypatch):
 
     monkeypatch.setattr(entry, "_llm", None)
     assert set(entry.queries()) == set(registry.QUERIES) and entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(("name", "t"), [("document_titles", "documents"), ("document_times", "documents"), ("page_dates", "pages"), ("late_events", "events")])
+def test_functions_run_over_whole_tables(spark, sf_dir, name, t):
+    assert registry.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+
+
+def test_whole_text_is_searched(spark, sf_dir):
+    late = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en' AND source = 'src3' AND lower(text) LIKE '%the%'").collect()}
+    assert {r.ord for r in registry.QUERIES["facet_search_text"](spark, sf_dir).collect()} == late
