@@ -209,6 +209,13 @@ def upsert_rows(spark, sf_dir):
     return maintain.upsert(d, fresh, "doc_id", "doc_id")
 
 
+@query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, coalesce(CAST(l.quality AS BIGINT), d.n_chars) AS v FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+def upsert_all(spark, sf_dir):
+    """Labels win over documents, both whole."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("v"))
+    return maintain.upsert(d, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("v")), "doc_id", "doc_id")
+
+
 @query("""WITH m AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)),
 h AS (SELECT l_partkey AS k, min(l_orderkey) AS owner FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1)
 SELECT m.k, owner, CASE WHEN owner IS NULL THEN 'orphan' ELSE 'swallowed' END AS state FROM m LEFT JOIN h USING (k)""")
@@ -236,6 +243,13 @@ def map_merge(spark, sf_dir):
     return maintain.right_wins(c.filter("k % 2 = 0"), c.filter("k % 3 = 0").withColumn("v", F.lit(None).cast("double")), "k")
 
 
+@query("""SELECT coalesce(p_partkey, s_suppkey) AS k, CASE WHEN p_partkey IS NULL THEN s_acctbal ELSE p_retailprice END AS v FROM supplier FULL JOIN part ON p_partkey = s_suppkey""")
+def map_merge_all(spark, sf_dir):
+    """Every part over every supplier of its number."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    return maintain.right_wins(s, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v")), "k")
+
+
 @query("""SELECT s_suppkey AS k, greatest(0, s_acctbal, coalesce(p_retailprice, 0)) AS v FROM supplier LEFT JOIN part ON p_partkey = s_suppkey""")
 def greatest_merge(spark, sf_dir):
     """J11."""
