@@ -127,6 +127,13 @@ def facet_search(spark, sf_dir):
     return serve.search(documents_as_notices(spark, sf_dir), campus="src3", college="en", query=" THE ").select("ord", "college", "campus")
 
 
+@query(f"""WITH {DOCS} SELECT ord, college, campus FROM d WHERE college = 'en' AND campus = 'src3' AND contains(lower(concat_ws(' ', abstract, college)), 'the')""")
+def facet_search_text(spark, sf_dir):
+    """F10, F11 with the whole text as the field that is searched."""
+    d = documents_as_notices(spark, sf_dir).withColumn("title", F.col("abstract"))
+    return serve.search(d, campus="src3", college="en", query=" THE ").select("ord", "college", "campus")
+
+
 @query(f"""WITH {DOCS}, r AS (SELECT ord, row_number() OVER (ORDER BY "lectureStart" DESC NULLS LAST, ord) AS k FROM d WHERE college = 'en') SELECT ord FROM r WHERE k BETWEEN 51 AND 75""")
 def page_slice(spark, sf_dir):
     """O1, W8."""
