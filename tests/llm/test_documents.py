@@ -229,16 +229,35 @@ def repeat_rows(seed, n):
 @pytest.mark.parametrize("n", [400, 40, 7, 1])
 def test_suffix_dedup_is_brute_force(spark, n):
     rows = repeat_rows(n, n) + ODD
-    same([tuple(r)[:5] for r in suffixes.repeated(frame(spark, rows), n).collect()], brute_repeats(rows, n))
-
-
-def test_suffix_dedup_of_long_texts_in_pieces(monkeypatch):
-    monkeypatch.setattr(suffixes, "SEGMENT", 150)
-    text = "".join(random.Random(5).choice("abc") for _ in range(2000)).encode()
-    whole = [(0, text)]
-    pieces = list(suffixes._pieces(text, 40))
-    assert all(text[at : at + len(p)] == p for at, p in pieces) and len(pieces) > 10
-    assert {at + i for at, p in pieces for i in range(len(p) - 39)} == {i for _, p in whole for i in range(len(p) - 39)}
+    same([tuple(r)[:5] for r in suffixes.repeated(frame(spark, rows), n, n).collect()], brute_repeats(rows, n))
+
+
+@pytest.mark.parametrize(("segment", "hot"), [(150, 2000), (1 << 20, 1)])
+def test_suffix_dedup_of_long_texts_and_hot_anchors(spark, monkeypatch, segment, hot):
+    monkeypatch.setattr(suffixes, "SEGMENT", segment)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (90, 60, 45, 300)]
+    rows = [(i, "".join(rng.choice([*parts, "xyz", "q", "".join(rng.choice("abc") for _ in range(30))]) for _ in range(1 + i % 9)), "x") for i in range(60)]
+    rows += [(100, "ab" * 700, "x"), (101, "a" * 900, "x"), (102, "".join(rng.choice("abc") for _ in range(2000)), "x")]
+    got = suffixes.repeated(frame(spark, rows), 40, 30).collect()
+    same([tuple(r)[:5] for r in got], brute_repeats(rows, 40))
+    cut = {i: removed for i, _, removed, *_ in brute_repeats(rows, 30)}
+    assert all(r.n_passage_bytes == cut[r.doc_id] and len(r.text) == r.n_bytes - r.n_passage_bytes for r in got)
+
+
+def test_passages_of_51_words_go_from_all_documents(spark, sf_dir):
+    """Whatever passage of over 50 words two documents share, nothing of it is left."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(6)
+    words = sorted({w for r in docs.collect() if r.text for w in r.text.split()})
+    planted = [" ".join(rng.choice(words) for _ in range(51)) for _ in range(12)]
+    own = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"{own(40)} {planted[i % 12]} {own(30)}", "x") for i in range(48)] + [(100 + i, own(150), "x") for i in range(20)]
+    for texts in ([r.text for r in suffixes.repeated(frame(spark, rows)).select("doc_id", "text").orderBy("doc_id").collect()], [r.text for r in suffixes.strip_repeats(frame(spark, rows)).orderBy("doc_id").collect()]):
+        assert not any(" ".join(p.split()[k : k + 8]) in t for p in planted for k in range(0, 44, 4) for t in texts)
+        assert texts[48:] == [t for _, t, _ in rows[48:]]
+        assert all(t.startswith(x[:150]) for t, (_, x, _) in zip(texts, rows, strict=True))
 
 
 def test_strip_repeats_keeps_columns_and_characters(spark, odd):
