@@ -87,6 +87,18 @@ def test_byte_bpe_is_tiktoken_and_round_trips(odd, none, documents, max_words):
     assert bpe.byte_bpe(none).collect() == []
 
 
+@pytest.mark.parametrize("shared_words", [0, 7])
+def test_byte_bpe_of_long_words_and_any_dictionary(spark, shared_words):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=tokens.default_pattern(), mergeable_ranks=tokens.load_ranks(tokens.default_path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("theanorin é漢acgt") for _ in range(n)).replace(" ", "") + " the end the end", None) for i, n in enumerate([1, 30, 511, 513, 700, 3000, 40_000])]
+    same([tuple(r) for r in bpe.byte_bpe(frame(spark, rows), shared_words=shared_words).collect()], [(i, *digests(t, enc)) for i, t, _ in rows])
+    assert bpe.merge_long(b"acgt" * 50_000, tokens.load_ranks(tokens.default_path("byte_bpe_50k.tiktoken")))
+
+
+
 def brute_scan(text, phrases):
     words = licences._WORD.findall((text or "").encode().lower())
     places = [(i, label) for phrase, label in phrases.items() for p in [phrase.encode().split()] for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
