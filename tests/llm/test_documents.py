@@ -201,7 +201,7 @@ def test_similar_sets_share_a_signature():
             inter = len(np.intersect1d(a, b))
             if 100 * inter < 75 * (len(a) + len(b) - inter):
                 continue
-            common = partenum.Common(rng.choice(np.concatenate([partenum.enumerated(a, k)[0] for k in partenum.bands_of(len(a))]), 3))
+            common = partenum.Common(rng.choice(np.concatenate([partenum.parts(a, k)[0] for k in partenum.bands_of(len(a))]), 3))
             sa, sb = (set(np.concatenate([partenum.signatures(s, k, common) for k in partenum.bands_of(len(s))]).tolist()) for s in (a, b))
             assert sa & sb
 
