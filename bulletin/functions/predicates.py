@@ -132,13 +132,34 @@ def is_speaker(name: Column) -> Column:
     return F.length(n).between(2, 15) & ~any_of(n, NO_NAME) & ~n.rlike(r"(?U)^[\d\s\W]+$")
 
 
-def looks_like_name(name: Column, forbidden: tuple[str, ...] = (), words: tuple[str, ...] = ()) -> Column:
+# Words that are no names, parts that no name has, Latin words that are no names.
+NO_NAME_WORDS = (
+    "作为", "首席", "主讲", "报告", "学院", "大学", "邀请", "专家", "嘉宾", "简介", "简历", "主持", "致辞", "出席", "参加", "单位", "教授", "研究员", "博士", "老师", "先生", "女士",
+    "学术", "讲座", "报告会", "工作坊", "论坛", "沙龙", "研讨会", "讲坛", "座谈会", "时间", "地点", "主题", "题目", "摘要", "内容", "来源", "发布", "承办", "协办", "主办", "科学",
+    "中心", "实验室", "研究所", "团队", "课题", "项目", "委员会", "主任", "院长", "处长", "活动", "交流", "研讨", "开展", "举办", "举行",
+    "专题", "提出", "入选", "互联", "学者讲坛", "计算机", "人工智能", "新一代", "智能", "运维", "数据", "网络", "系统", "模型", "算法",
+    "平台", "技术", "课程", "教学", "教育", "创新", "发展", "研究", "应用", "探索", "实践", "分析", "设计", "构建", "开发", "升级", "优化", "融合", "赋能", "转型", "本科",
+    "第一名", "硕士", "一等奖", "二等奖", "三等奖", "特等奖", "金奖", "银奖", "铜奖", "优胜奖", "优秀教师", "青年", "教师", "学生", "领导",
+)
+NO_NAME_PARTS = (
+    "讲坛", "讲座", "论坛", "沙龙", "报告会", "系列", "学者", "讲席", "讲堂", "大讲堂", "学院", "大学", "研究所", "实验室", "中心", "团队", "课题", "项目组", "研究生",
+    "本科生", "简介", "简历", "介绍", "摘要", "内容", "地点", "时间", "主题", "题目", "主办", "承办", "协办", "邀请", "嘉宾", "主持", "出席", "参加", "活动", "交流",
+    "研讨", "开展", "举办", "举行", "教授", "研究员", "博士", "老师", "院士", "导师", "院长", "主任", "书记", "校长", "主席", "专题", "師范", "师范",
+    "星期", "周一", "周二", "周三", "周四", "周五", "周六", "周日",
+    "广州", "广东", "北京", "上海", "深圳", "中国", "香港", "美国", "广西", "杭州", "苏州", "成都", "武汉", "南京", "西安", "重庆", "天津", "厦门", "东莞", "佛山", "珠海", "中山",
+    "的", "学报", "研究领域", "发表论文", "荣获", "巴洛克", "万人", "石牌", "大学城", "汕尾", "校区", "分享", "从事", "本次", "主要",
+    "近年来", "发篇学术", "教育学博", "设儿建设", "台湾省桃", "华南師花", "研究问题",
+)
+NO_NAME_LATIN = ("professor", "dr", "mr", "ms", "presenter", "lecturer", "speaker", "university", "college", "institute", "research", "science", "chair")
+
+
+def looks_like_name(name: Column, forbidden: tuple[str, ...] = NO_NAME_PARTS, words: tuple[str, ...] = NO_NAME_WORDS) -> Column:
     """a Latin name, two to five Chinese letters, or both; no forbidden part, no word
     or run of words of the list, no title cut short."""
     n = strip(_text(name))
     cut = n.endswith("题") | (n.endswith("授") & ~n.endswith("教授")) | (n.endswith("士") & ~n.rlike("(博士|院士|硕士|学士)$"))
-    latin = n.rlike(r"^[A-Za-z]+(?:[.'·]?\s?[A-Za-z]+)*$") & ~F.lower(F.rtrim(n, F.lit("."))).isin("professor", "dr", "mr", "ms", "presenter", "lecturer", "speaker", "university", "college", "institute", "research", "science", "chair")
+    latin = n.rlike(r"^[A-Za-z]+(?:[.'·]?\s?[A-Za-z]+)*$") & ~F.lower(F.rtrim(n, F.lit("."))).isin(*NO_NAME_LATIN)
     left = F.regexp_replace(n, "|".join(words), "") if words else n
-    chinese = n.rlike(f"^{CJK}{{2,5}}$") & (left != "")
+    chinese = n.rlike(f"^{CJK}{{2,5}}$") & (left != "") & ~n.isin(*words)
     mixed = n.rlike(CJK) & n.rlike("[A-Za-z·]")
     return (F.length(n) >= 2) & ~cut & ~any_of(n, forbidden) & (latin | chinese | mixed)

@@ -8,6 +8,14 @@ from pyspark.sql import Column, functions as F
 
 # Academic titles, stripped from names in this order.
 TITLES = ("教授", "副教授", "讲师", "研究员", "副研究员", "院士", "博士", "博士后", "博士生导师", "硕士生导师")
+# What stands behind a name: posts and degrees, forms of address, parties.
+POSTS = ("特聘教授", "特任教授", "长聘教授", "讲座教授", "讲席教授", "客座教授", "名誉教授", "兼职教授", "青年教授", "卓越教授", "二级教授", "三级教授", "四级教授", "一级教授", "副教授", "助理教授", "副研究员", "助理研究员", "研究员", "教授", "讲师", "博士后", "博士", "硕士", "学士", "院士")
+ADDRESS = ("老师", "导师", "先生", "女士")
+PARTIES = ("中共党员", "共产党员", "党员", "九三学社", "民进", "民盟", "民建", "致公党", "农工党", "台盟", "无党派")
+# Posts that end a Latin speaker's unit, posts that end a speaker in a run of speakers, honours that stand before a name.
+POSTS_OF_LATIN = ("特聘教授", "特任教授", "长聘教授", "副教授", "助理教授", "副研究员", "助理研究员", "研究员", "教授", "讲师", "博士后", "博士", "院士", "老师", "导师", "先生", "女士")
+POSTS_IN_RUN = ("教授", "研究员", "副教授", "助理教授", "副研究员", "助理研究员", "讲师", "院士", "博士")
+HONOURS = ("国家杰青", "长江学者", "国家优青", "优秀青年", "万人计划", "百人计划", "青年千人", "千人计划", "中科院院士", "中国工程院院士", "973首席", "国家万人", "杰青", "优青")
 # Full-width signs and their ASCII forms.
 FULL_WIDTH, HALF_WIDTH = "：，（）／【】；“”‘’　", ":,()/[];\"\"'' "
 # Bilingual labels.
@@ -122,13 +130,6 @@ def block_field(block: Column, labels: str, stops: str, most: int = 40) -> Colum
     return present(strip(F.substring(found, 1, most)))
 
 
-def speakers(text: Column) -> Column:
-    """The name and title pairs of a run of speakers."""
-    pattern = rf"({CJK}{{2,4}}?)\s*(副教授|教授|副研究员|研究员|讲师|院士|博士)"
-    names, titles = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(names, titles, lambda n, t: F.struct(n.alias("speaker"), t.alias("title")))
-
-
 def truncate(text: Column, most: int) -> Column:
     """At most ``most`` letters, the last an ellipsis where any are cut."""
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 1), F.lit("…")))

@@ -1,43 +1,62 @@
-"""ST3, ST5: incremental ingest: each micro-batch is merged into a new version of the table
-and a pointer moves to it, so readers never see half a version and a repeated batch makes
-the same one. One query a checkpoint keeps runs apart."""
+"""ST3, ST5: incremental ingest: each micro-batch is merged into a new version of the table,
+so readers never see half a version. A version bears the run and the batch that made it: a
+batch that comes again is known and changes nothing, and one of a new run, whatever its
+number, is merged onto what is there. One query a checkpoint keeps runs apart."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.maintain import upsert
 
 
 class VersionedTable:
-    """Parquet directories ``v=<n>`` under a path, and the number of the current one."""
+    """Parquet directories ``v=<n>-<run>-<batch>`` under a path; the one with the largest
+    number that was written to its end is the current one."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+    def versions(self) -> dict[int, tuple[str, int]]:
+        """(run, batch) by number of every version that was written to its end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return {}
+        found = {}
+        for status in fs.listStatus(root):
+            p = status.getPath()
+            if p.getName().startswith("v=") and fs.exists(path(p, "_SUCCESS")):
+                n, run, batch = p.getName()[2:].split("-")
+                found[int(n)] = (run, int(batch))
+        return found
 
     def version(self) -> int:
-        """The newest version that was written to its end."""
-        path, fs, root = self._fs()
-        if not fs.exists(root):
-            return -1
-        found = [s.getPath() for s in fs.listStatus(root)]
-        return max((int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(path(p, "_SUCCESS"))), default=-1)
+        """The number of the current version; -1 of an empty table."""
+        return max(self.versions(), default=-1)
 
     def read(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v}")
-
-    def merge(self, fresh: DataFrame, batch: int, key: str, order: str) -> None:
-        """Version ``batch`` is the one before it with ``fresh`` merged in."""
-        before = self.read(batch - 1) if batch and self.version() >= batch - 1 else self.read(-1) if not batch else self.read()
-        upsert(before, fresh, key, order).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        found = self.versions()
+        n = max(found, default=-1) if version is None else version
+        if n < 0:
+            return self.spark.createDataFrame([], self.schema)
+        run, batch = found[n]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={n}-{run}-{batch}")
+
+    def merge(self, fresh: DataFrame, batch: int, key: str, order: str, run: str = "0") -> None:
+        """The current version with ``fresh`` merged in, unless this batch of this run is in
+        a version already. ``run`` has letters and digits only."""
+        found = self.versions()
+        if (run, batch) in found.values():
+            return
+        n = max(found, default=-1) + 1
+        upsert(self.read(), fresh, key, order).write.mode("overwrite").parquet(f"{self.path}/v={n}-{run}-{batch}")
 
 
 def ingest(stream: DataFrame, table: VersionedTable, key: str, order: str, checkpoint: str):
     """Everything that has come since the last run, then the query ends."""
-    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: table.merge(df, n, key, order)).start()
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: table.merge(df, n, key, order, run)).start()

@@ -90,3 +90,4 @@ def test_gate_is_never_null(value):
 
 def test_names(value):
     assert value(P.looks_like_name(L("张三")), P.looks_like_name(L("John Smith")), P.looks_like_name(L("professor")), P.looks_like_name(L("李题")), P.looks_like_name(L("讲坛甲"), ("讲坛",))) == [True, True, False, False, False]
+    assert value(P.looks_like_name(L("学术讲座")), P.looks_like_name(L("广州")), P.looks_like_name(L("陈建二"))) == [False, False, True]

@@ -38,3 +38,21 @@ def test_versions_are_repeatable(spark, tmp_path):
     for _ in range(2):
         t.merge(two, 1, "k", "ord")
     assert t.version() == 1 and sorted((r.k, r.v) for r in t.read().collect()) == [("a", 1), ("b", 2)]
+
+
+def test_first_batch_of_a_new_run_is_merged_onto_the_table(spark, tmp_path):
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"), "k string, v int, ord int")
+    for n, k in enumerate("abd"):
+        t.merge(spark.createDataFrame([(k, 1, 0)], t.schema), n, "k", "ord", "old")
+    t.merge(spark.createDataFrame([("c", 1, 0)], t.schema), 0, "k", "ord", "new")
+    t.merge(spark.createDataFrame([("a", 9, 0)], t.schema), 1, "k", "ord", "old")  # known: nothing changes
+    assert t.version() == 3 and sorted((r.k, r.v) for r in t.read().collect()) == [("a", 1), ("b", 1), ("c", 1), ("d", 1)]
+
+
+def test_ingest_twice_over_a_table_that_exists(spark, tmp_path):
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"), "k string, v int, ord int")
+    t.merge(spark.createDataFrame([("z", 1, 0)], t.schema), 0, "k", "ord")
+    rows = batches(spark, tmp_path / "in", [spark.createDataFrame([("a", 1, 0)], t.schema), spark.createDataFrame([("b", 2, 0)], t.schema)])
+    for _ in range(2):
+        upsert.ingest(rows, t, "k", "ord", str(tmp_path / "cp")).awaitTermination()
+        assert sorted(r.k for r in t.read().collect()) == ["a", "b", "z"]
