@@ -41,8 +41,9 @@ def number(rows: DataFrame, key: str, order: str, first: Column | int = 1) -> Da
 
 
 def first_number(title: Column) -> Column:
-    """The first number of a range in a title, or 1."""
-    return F.coalesce(F.regexp_extract(F.coalesce(title, F.lit("")), "第?([0-9]+)\\s*[-—–~至]\\s*[0-9]+\\s*[讲场期]", 1).try_cast("int"), F.lit(1))
+    """The first number of a range of numbers in a title that rises, or 1."""
+    pair = [F.regexp_extract(F.coalesce(title, F.lit("")), r"第\s*([0-9]{1,3})\s*-\s*([0-9]{1,3})\s*期", k).try_cast("int") for k in (1, 2)]
+    return F.when((pair[0] >= 1) & (pair[0] < pair[1]), pair[0]).otherwise(F.lit(1))
 
 
 def richness(block: Column, weights: dict[str, float]) -> Column:
@@ -70,5 +71,18 @@ def meeting_of(index: Column, meetings: Column) -> Column:
 
 
 def by_speaker(rows: DataFrame, speakers: str = "speakers") -> DataFrame:
-    """A row for each speaker of a notice that has several, numbered."""
-    return rows.select("*", F.posexplode(speakers).alias("__i", "__s")).withColumns({"speaker": F.col("__s.speaker"), "speakerTitle": F.col("__s.title"), "lectureIndex": F.col("__i") + 1, "lectureCount": F.size(speakers)}).drop("__i", "__s")
+    """A row for each speaker of a notice that has several, numbered; honours stand for
+    the title, and the first row alone counts as the notice."""
+    none = F.array().cast("array<string>")
+    own = {
+        "speaker": F.col("__s.speaker"),
+        "speakerTitle": F.coalesce("__s.honour", F.lit("")),
+        "speakerAffiliation": F.lit(""),
+        "speakerSource": F.lit("label"),
+        "isMultiLecture": F.lit(True),
+        "lectureIndex": F.col("__i") + 1,
+        "lectureCount": F.size(speakers),
+        "sourceCount": F.when(F.col("__i") == 0, 1).otherwise(0),
+        "notes": none,
+    }
+    return rows.select("*", F.posexplode(speakers).alias("__i", "__s")).withColumns(own).drop("__i", "__s")

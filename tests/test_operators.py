@@ -120,3 +120,21 @@ def test_small_readers(spark, tmp_path):
     assert (s.legacy, s.n_days, s.day_sum) == (30, 1, 70)
     assert readers.college_rows([{"name": "n", "list_urls": ["u", {"url": "w", "collect_mode": "all_items"}]}])[0][3] == [("u", "auto"), ("w", "all_items")]
     assert "<td>7</td>" in writers.visits_report(cube.year_month_matrix(spark.createDataFrame([("2024-03-01", 7), ("bad", 1)], "day string, n int")))
+
+
+def test_notices_split_by_speaker_count_once(spark):
+    from bulletin.functions import extract
+    from bulletin.operators import sessions
+
+    rows = spark.createDataFrame([("u1", "国家杰青刘梦赤教授长江学者陈建二教授"), ("u2", "李明助理教授")], "sourceUrl string, label string").withColumn("speakers", extract.speakers(F.col("label")))
+    got = sessions.by_speaker(rows).orderBy("sourceUrl", "lectureIndex").collect()
+    assert [(r.speaker, r.speakerTitle, r.lectureIndex, r.lectureCount, r.sourceCount) for r in got] == [("刘梦赤", "国家杰青", 1, 2, 1), ("陈建二", "长江学者", 2, 2, 0), ("李明", "", 1, 1, 1)]
+    assert all(r.isMultiLecture and r.notes == [] and r.speakerAffiliation == "" for r in got)
+
+
+def test_first_number_of_a_rising_range(spark):
+    from bulletin.operators import sessions
+
+    titles = ["学术讲座第12-15期", "第 3 - 5 期", "第5-3期", "12-15期", "第1-2讲", None]
+    rows = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r.n for r in rows.select(sessions.first_number(F.col("t")).alias("n")).collect()] == [12, 3, 1, 1, 1, 1]
