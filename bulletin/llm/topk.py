@@ -9,7 +9,8 @@ exactly. The search stops only on proof, when all but a few vectors can no longe
 k-th best score; the possible members are rescored exactly from their vectors.
 
 Queries, a stated set, meet all rows block by block: the unit of work is one block of queries
-and one index block, dealt evenly. Each unit gives k rows a query; the k best are then
+and one index block. Pairs of block numbers are dealt by salt, their payloads join them by
+block, so no key gathers all blocks. Each unit gives k rows a query; the k best are then
 taken by a window over a query's rows.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
@@ -38,6 +39,8 @@ INDEX_BLOCK = 8_192
 QUERY_BLOCK = 128
 #: So many possible members are rescored without looking further.
 RESCORE = 256
+#: Shares of the query blocks that meet index blocks in tasks of their own.
+SALTS = 64
 
 
 def integers(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -144,7 +147,11 @@ def top_k(embeddings: DataFrame, queries: DataFrame | None = None, k: int = K, e
     index = scratch.keep(rows.coalesce(max(1, rows.rdd.getNumPartitions() // 4)).mapInArrow(_blocks(index_block), packed))
     asked = scratch.keep(asked.coalesce(max(1, asked.rdd.getNumPartitions() // 4)).mapInArrow(_blocks(query_block), packed))
     asked = asked.select(F.col("block").alias("q_block"), "dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    units = index.join(asked.hint("shuffle_hash"), "dims")  # blocks, a few hundred rows each side
+    # pairs of block numbers are dealt by salt, payloads then meet them by block
+    salt = F.pmod(F.xxhash64("q_block"), F.lit(SALTS))
+    ids = index.select("block", "dims", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    pairs = ids.join(asked.select("q_block", "dims", salt.alias("salt")).hint("shuffle_hash"), ["dims", "salt"]).select("block", "q_block")
+    units = pairs.join(index.hint("shuffle_hash"), "block").join(asked.drop("dims").hint("shuffle_hash"), "q_block")
     found = units.groupBy("block", "q_block").applyInPandas(_unit(k), "q_block bigint, q_row bigint, query_id bigint, vec_id bigint, score bigint")
     found = scratch.keep(found)
     best = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
