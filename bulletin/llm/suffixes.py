@@ -141,7 +141,7 @@ class Anchors:
         runs = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         stops = np.concatenate((runs[1:], [len(least)])) - 1
         codes, of_run = np.unique(least[runs], return_inverse=True)
-        n = len(least) + 1
+        n = len(data) + 1  # places reach beyond the last window
         keys = of_run * n + runs
         order = np.argsort(keys, kind="stable")
         at = order[np.searchsorted(keys[order], np.searchsorted(codes, self.hashes) * n + self.places, side="right") - 1]

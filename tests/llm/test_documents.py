@@ -258,6 +258,21 @@ def test_suffix_dedup_of_long_texts_and_hot_anchors(spark, monkeypatch, segment,
     assert all(r.n_passage_bytes == cut[r.doc_id] and len(r.text) == r.n_bytes - r.n_passage_bytes for r in got)
 
 
+def test_anchors_know_all_windows_of_single_texts():
+    """Every window of a text, alone or among others, has an anchor that holds it."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        sizes = rng.integers(30, 400, rng.integers(1, 4))
+        data = rng.integers(97, 100, sizes.sum()).astype(np.uint8)
+        ends = np.cumsum(sizes)
+        a = suffixes.Anchors(data, ends, 40)
+        for threshold in (40, 55):
+            lo, hi = a.windows(threshold)
+            held = set().union(*(range(x, y + 1) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)))
+            want = {i for b, e in zip(a.begins.tolist(), ends.tolist(), strict=True) for i in range(b, e - threshold + 1)}
+            assert held == want
+
+
 def test_passages_of_51_words_go_from_all_documents(spark, sf_dir):
     """Whatever passage of over 50 words two documents share, nothing of it is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
