@@ -7,6 +7,7 @@ college, the region the campus, its lines the announcing sources; an event is a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -114,10 +115,10 @@ def documents_as_notices(spark, sf_dir):
     """Documents as notices: language as college, source as campus."""
     d = table(spark, sf_dir, "documents")
     start = F.when(F.col("doc_id") % 7 != 0, F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")), "yyyy-MM-dd"), F.lit(" 09:00:00")))
-    return d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("https://x.test/"), F.col("doc_id").cast("string")).alias("sourceUrl"), F.col("lang").alias("college"), F.col("source").alias("campus"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("abstract"), start.alias("lectureStart"))
+    return d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("https://x.test/"), F.col("doc_id").cast("string")).alias("sourceUrl"), F.col("lang").alias("college"), F.col("source").alias("campus"), F.col("text").alias("title"), F.col("text").alias("abstract"), start.alias("lectureStart"))
 
 
-DOCS = """d AS (SELECT doc_id AS ord, 'https://x.test/' || doc_id AS "sourceUrl", lang AS college, source AS campus, substring(text, 1, 60) AS title, text AS abstract,
+DOCS = """d AS (SELECT doc_id AS ord, 'https://x.test/' || doc_id AS "sourceUrl", lang AS college, source AS campus, text AS title, text AS abstract,
   CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER), '%Y-%m-%d') || ' 09:00:00' END AS "lectureStart" FROM documents)"""
 
 
@@ -172,16 +173,16 @@ def near_dup_pairs(spark, sf_dir):
     return resolve.similar_pairs(rows, 0.6, ("g",)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_partkey AS a, min(l_orderkey) AS b FROM lineitem WHERE l_quantity >= 49 GROUP BY 1),
-l AS (SELECT x.l_orderkey AS a, e.b FROM lineitem x JOIN e ON x.l_partkey = e.a WHERE x.l_quantity >= 49),
-s AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
+@query("""WITH RECURSIVE e AS (SELECT l_partkey AS p, l_suppkey AS s, l_quantity AS q, min(l_orderkey) AS b FROM lineitem GROUP BY 1, 2, 3),
+l AS (SELECT DISTINCT l_orderkey AS a, b FROM lineitem JOIN e ON l_partkey = p AND l_suppkey = s AND l_quantity = q WHERE l_orderkey <> b),
+s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(n, m) AS (SELECT a, a FROM s UNION SELECT r.n, s.b FROM r JOIN s ON r.m = s.a)
 SELECT n AS node, min(m) AS cluster FROM r GROUP BY n""")
 def clusters(spark, sf_dir):
-    """Orders linked by a part of which both bought much."""
-    x = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
-    first = x.groupBy("l_partkey").agg(F.min("l_orderkey").alias("b"))
-    return resolve.close(x.join(first, "l_partkey").select(F.col("l_orderkey").alias("a"), "b").filter("a <> b"))
+    """Orders linked by a part that both bought of one supplier in one quantity."""
+    x, same = table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_quantity"]
+    first = x.groupBy(*same).agg(F.min("l_orderkey").alias("b"))
+    return resolve.close(x.join(first, same).select(F.col("l_orderkey").alias("a"), "b").filter("a <> b"))
 
 
 @query()
@@ -208,12 +209,11 @@ def incremental_anti(spark, sf_dir):
     return maintain.unseen(d, table(spark, sf_dir, "labels").select(url("doc_id")), table(spark, sf_dir, "benchmark").select(url("item_id"))).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, coalesce(CAST(l.quality AS BIGINT), d.n_chars) AS v FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+@query("""SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal END AS v FROM customer FULL JOIN supplier ON s_suppkey = c_custkey""")
 def upsert_rows(spark, sf_dir):
-    """Labels win over documents."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.col("n_chars").alias("v"))
-    fresh = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("v"))
-    return maintain.upsert(d, fresh, "doc_id", "doc_id")
+    """Suppliers win over customers of their number."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return maintain.upsert(c, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), "k", "k")
 
 
 @query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, coalesce(CAST(l.quality AS BIGINT), d.n_chars) AS v FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id""")
@@ -223,31 +223,30 @@ def upsert_all(spark, sf_dir):
     return maintain.upsert(d, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("v")), "doc_id", "doc_id")
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)),
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)),
 h AS (SELECT l_partkey AS k, min(l_orderkey) AS owner FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1)
 SELECT m.k, owner, CASE WHEN owner IS NULL THEN 'orphan' ELSE 'swallowed' END AS state FROM m LEFT JOIN h USING (k)""")
 def diff_audit(spark, sf_dir):
-    """Missing customers, and the first order whose parts hold their number."""
-    missing = maintain.difference(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")), "k")
+    """Ordering customers whose number no supplier has, and the first order whose parts hold it."""
+    missing = maintain.difference(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k")
     held = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_orderkey").alias("ord"), F.array(F.struct(F.col("l_partkey").alias("sourceUrl"))).alias("sources"))
     return maintain.audit_missing(missing.withColumnRenamed("k", "sourceUrl"), held.withColumnRenamed("k", "sourceUrl")).withColumnRenamed("sourceUrl", "k")
 
 
-@query("""SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'patched' ELSE s_name END AS name FROM supplier WHERE s_suppkey % 7 <> 0
-UNION ALL SELECT -n_nationkey - 1, n_name FROM nation""")
+@query("""SELECT s_suppkey AS k, coalesce(n_name, s_name) AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_suppkey WHERE s_suppkey NOT IN (SELECT r_regionkey FROM region)
+UNION ALL SELECT -r_regionkey - 1, r_name FROM region""")
 def overlay_patch(spark, sf_dir):
-    """J9."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    patch = s.filter("k % 5 = 0").select("k", F.lit("patched").alias("name"))
-    added = table(spark, sf_dir, "nation").select((-F.col("n_nationkey").cast("bigint") - 1).alias("k"), F.col("n_name").alias("name"))
-    return maintain.overlay(s, patch, s.filter("k % 7 = 0"), added, "k", ["name"])
+    """Suppliers patched by nations of their number, those of regions' numbers excluded, regions added."""
+    t = lambda name, k, n: table(spark, sf_dir, name).select(F.col(k).cast("bigint").alias("k"), F.col(n).alias("name"))
+    region = t("region", "r_regionkey", "r_name")
+    return maintain.overlay(t("supplier", "s_suppkey", "s_name"), t("nation", "n_nationkey", "n_name"), region, region.withColumn("k", -F.col("k") - 1), "k", ["name"])
 
 
-@query("""SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NULL THEN a.v ELSE b.v END AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, CAST(NULL AS DOUBLE) AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+@query("""SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN c_acctbal END AS v FROM customer FULL JOIN supplier ON s_suppkey = c_custkey""")
 def map_merge(spark, sf_dir):
     """Whole rows of the right table win, nulls included."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return maintain.right_wins(c.filter("k % 2 = 0"), c.filter("k % 3 = 0").withColumn("v", F.lit(None).cast("double")), "k")
+    return maintain.right_wins(c, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(None).cast("double").alias("v")), "k")
 
 
 @query("""SELECT coalesce(p_partkey, s_suppkey) AS k, CASE WHEN p_partkey IS NULL THEN s_acctbal ELSE p_retailprice END AS v FROM supplier FULL JOIN part ON p_partkey = s_suppkey""")
@@ -332,24 +331,38 @@ def session_dedup(spark, sf_dir):
     return sessions.dedup_sessions(rows, "k", "topic", "start", "rich", "pos").select("k", "pos", "slot")
 
 
-def _literals(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+# Texts of notices made of the tables' values, as one expression for Spark and for the SQL
+# beside it; the functions under test are Spark's only, and the SQL computes them anew.
+_DATE = "CAST(o_orderdate + INTERVAL 30 YEAR AS DATE)"
+_DAY = f"CAST({_DATE} AS STRING)"
+_Y, _M, _D = (f"substring({_DAY}, {at}, {n})" for at, n in ((1, 4), (6, 2), (9, 2)))
+_BARE_M, _BARE_D = (f"CAST(CAST({x} AS INT) AS STRING)" for x in (_M, _D))
+
+TITLE = f"concat(CASE o_orderkey % 3 WHEN 0 THEN '学术 报告' WHEN 1 THEN '讲座' ELSE '' END, o_orderpriority, CASE o_orderkey % 5 WHEN 0 THEN '（石牌）' WHEN 1 THEN '(a b)' WHEN 2 THEN ' 2026-06-25（x）' ELSE '' END, CASE o_orderkey % 4 WHEN 0 THEN {_DAY} WHEN 1 THEN replace({_DAY}, '-', '') WHEN 2 THEN replace({_DAY}, '-', '/') ELSE '' END)"
+SPEAKER = "concat(CASE c_custkey % 4 WHEN 0 THEN ' ' ELSE '' END, CASE c_custkey % 5 WHEN 0 THEN '' ELSE c_name END, CASE c_custkey % 7 WHEN 0 THEN '教授' WHEN 1 THEN '副教授' WHEN 2 THEN '博士教授' WHEN 3 THEN ' 讲师' WHEN 4 THEN '博士后研究员' WHEN 5 THEN '博士生导师' ELSE '' END)"
+URL = f"concat('https://x.test', CASE o_orderkey % 6 WHEN 0 THEN concat('/a/', {_Y}, {_M}, {_D}, '/x.html') WHEN 1 THEN concat('/a/', {_Y}, '/', {_M}, {_D}, '/') WHEN 2 THEN concat('/n/', {_Y}, '/', {_M}, {_D}, '/x.htm') WHEN 3 THEN concat('/n/', {_Y}, '/', {_BARE_M}, '/', {_BARE_D}, '/x.html') WHEN 4 THEN concat('/a/', {_Y}, {_D}, {_M}, '/') ELSE '/about.html' END)"
+LIST_URL = "concat('/xs/', CASE o_orderkey % 4 WHEN 0 THEN concat(CAST(o_orderkey AS STRING), '.html') WHEN 1 THEN '' WHEN 2 THEN 'index.html' ELSE concat(o_orderstatus, '//') END)"
+STARTED = f"CASE WHEN o_orderkey % 4 = 0 THEN concat({_DAY}, ' 15:00:00') END"
+PUBLISHED = f"CASE o_orderkey % 3 WHEN 0 THEN concat(' ', {_DAY}) WHEN 1 THEN 'soon' END"
+YEAR_TITLE = f"CASE o_orderkey % 5 WHEN 0 THEN concat('研讨', {_Y}, '年') WHEN 1 THEN '研讨' END"
+HELD = f"concat({_DAY}, CASE o_orderkey % 2 WHEN 0 THEN ' 00:00:00' ELSE ' 15:00:00' END)"
+TOLD = f"concat(CAST({_DATE} + CAST(o_custkey % 5 - 2 AS INT) AS STRING), CASE o_orderkey % 3 WHEN 0 THEN ' 20:00:00' WHEN 1 THEN ' 09:00:00' ELSE '' END)"
+TOLD_BY = "CASE WHEN o_orderkey % 7 = 0 THEN 'url_proxy' END"
+NAME = "concat(substring('张王李赵', CAST(o_orderkey % 5 AS INT) + 1, 2), CASE o_custkey % 6 WHEN 0 THEN '通知' WHEN 1 THEN ' ,12' WHEN 2 THEN o_orderpriority WHEN 3 THEN '敬请' WHEN 4 THEN '三' ELSE CAST(o_custkey AS STRING) END)"
+NEWS_TITLE = "CASE doc_id % 8 WHEN 0 THEN '我院举办学术讲座' WHEN 1 THEN '关于举办学术讲座的通知' WHEN 2 THEN '讲座回顾：诗歌' WHEN 3 THEN '回顾与展望' WHEN 4 THEN '论坛圆满落幕' WHEN 5 THEN '我院师生参加会议' ELSE coalesce(source, '') END"
+NEWS_BODY = "concat(coalesce(text, ''), CASE doc_id % 9 WHEN 0 THEN '初审：甲 复审：乙 终审：丙' WHEN 1 THEN '讲座圆满结束。' WHEN 2 THEN '2025年5月3日，报告会在礼堂顺利举办' WHEN 3 THEN '时间：2025年5月3日 报告会在礼堂顺利举办' WHEN 4 THEN '会议成功召开' ELSE '' END)"
+SEGMENT = f"CASE o_orderkey % 6 WHEN 0 THEN concat({_Y}, '年', {_BARE_M}, '月', {_BARE_D}, '日 下午', CAST(o_custkey % 12 + 1 AS STRING), '点半') WHEN 1 THEN concat('时间：', {_DAY}, ' 14:30-16:00') WHEN 2 THEN concat({_BARE_M}, '月', {_BARE_D}, '日 上午9：', {_D}) WHEN 3 THEN concat({_M}, '/', {_D}) WHEN 4 THEN concat({_Y}, '年', {_BARE_M}, '月3', CAST(o_custkey % 3 AS STRING), '日 晚上7:05') ELSE o_orderpriority END"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    say = lambda v: "NULL" if v is None else ("true" if v is True else "false" if v is False else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'")
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) AS t({names})"
+def _ymd(text: str, pattern: str, year: str | None = None) -> str:
+    """SQL for the date that a pattern's groups make, or null."""
+    part = lambda k: f"regexp_extract({text}, '{pattern}', {k})"
+    y, m, d = (part(1), part(2), part(3)) if year is None else (f"'{year}'", part(1), part(2))
+    return f"try_cast(concat({y}, '-', lpad({m}, 2, '0'), '-', lpad({d}, 2, '0')) AS DATE)"
 
 
-TITLES = [("学术 报告通知 2026-06-25", "学术报告通知"), ("讲座2026-06-25（石牌）", "讲座"), ("讲座（石牌）2026-06-25", "讲座（石牌）"), ("a b(c)", "ab")]
-SPEAKERS = [("李四教授", "李四"), ("张三副教授", "张三副"), ("教授", "教授"), (" 王五 讲师", "王五")]
-URL_DATES = [("https://x.test/a/20251201/x.html", "2025-12-01"), ("https://x.test/a/2025/0507/x.html", "2025-05-07"), ("https://x.test/x/2025/1028/x.html", "2025-10-28"), ("https://x.test/a/20251301/x.html", None), ("https://x.test/q/2025/1/8/x.htm", "2025-01-08")]
-NEXT_PAGES = [("/xs/2.html", "/xs/3.html"), ("/xs/", "/xs/2.html"), ("/xs/index.html", None)]
-YEARS = [("2025-07-02 15:00:00", None, "x", "2025"), (None, "2024-01-05", "x", "2024"), (None, None, "研讨2023年", "2023"), (None, None, "研讨", "其他")]
-LATE = [("2025-05-31 00:00:00", "2025-05-31 20:00:00", False), ("2025-05-31 15:00:00", "2025-05-31 20:00:00", True), ("2025-05-31 15:00:00", "2025-06-02", False), (None, "2025-06-02 00:00:00", False)]
-NAMES = [("张三", True), ("12 ,", False), ("通知", False), ("王", False)]
-NEWS = [("我院举办学术讲座", "", "title-conduct"), ("关于举办学术讲座的通知", "", None), ("讲座回顾：诗歌", "", "title-retro"), ("回顾与展望", "", None), ("论坛圆满落幕", "", "title-done"), ("x", "初审：甲 复审：乙 终审：丙", "signature-block"), ("x", "讲座圆满结束。", "retro-summary"), ("我院师生参加会议", "", "title-participate"), ("x", "2025年5月3日，报告会在礼堂顺利举办", "narrative-completion")]
-SEGMENTS = [("2025年6月3日 下午3点半", "2025-06-03 15:30:00", None), ("时间：2025-06-03 14:30-16:00", "2025-06-03 14:30:00", "2025-06-03 16:00:00"), ("6月3日 上午9：00", "2024-06-03 09:00:00", None), ("06/10", "2024-06-10 00:00:00", None), ("2025年2月30日", None, None), ("2025年6月3日 25:00", "2025-06-03 00:00:00", None), ("none", None, None)]
+def _has_any(text: str, words: tuple[str, ...]) -> str:
+    return f"regexp_matches({text}, '{'|'.join(words)}')"
 
 
 @query()
@@ -378,59 +391,82 @@ def late_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", P.is_late(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.date_format(F.date_add("ts", 1), "yyyy-MM-dd 00:00:00"), F.lit(None).cast("string")).alias("late"))
 
 
-@query(_values(TITLES, "title, bare"))
+@query(rf"""WITH t AS (SELECT o_orderkey, {TITLE} AS title FROM orders)
+SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(title, '\s+', '', 'g'), '[（(][^）)]*[）)]$', ''), '(20[0-9]{{2}}[-/]?[0-9]{{2}}[-/]?[0-9]{{2}}|20[0-9]{{6}})$', '') AS bare FROM t""")
 def normalised_titles(spark, sf_dir):
-    """C1."""
-    return _literals(spark, [(a,) for a, _ in TITLES], "title string").withColumn("bare", T.normalize_title(F.col("title")))
+    """Titles with brackets and dates, one an order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.normalize_title(F.expr(TITLE)).alias("bare"))
 
 
-@query(_values(SPEAKERS, "speaker, bare"))
+@query(f"SELECT c_custkey, trim({reduce(lambda c, t: rf"regexp_replace({c}, '^(.+){t}$', '\1')", T.TITLES, f'trim({SPEAKER})')}) AS bare FROM customer")
 def normalised_speakers(spark, sf_dir):
-    """C2."""
-    return _literals(spark, [(a,) for a, _ in SPEAKERS], "speaker string").withColumn("bare", T.normalize_speaker(F.col("speaker")))
+    """Names with titles, one a customer."""
+    return table(spark, sf_dir, "customer").select("c_custkey", T.normalize_speaker(F.expr(SPEAKER)).alias("bare"))
+
 
+_URL_FORMS = (r"/a/(20[0-9]{2})([0-9]{2})([0-9]{2})/", r"/a/(20[0-9]{2})/([0-9]{2})([0-9]{2})/", r"/(20[0-9]{2})/([0-9]{2})([0-9]{2})/[^/]+\.html?$", r"/(20[0-9]{2})/([0-9]{1,2})/([0-9]{1,2})/[^/]+\.html?$")
 
-@query(_values(URL_DATES, "url, day"))
+
+@query(f"""WITH t AS (SELECT o_orderkey, {URL} AS url FROM orders) SELECT o_orderkey, CAST(coalesce({', '.join(_ymd('url', p) for p in _URL_FORMS)}) AS VARCHAR) AS day FROM t""")
 def url_dates(spark, sf_dir):
-    """D11."""
-    return _literals(spark, [(a,) for a, _ in URL_DATES], "url string").withColumn("day", D.date_in_url(F.col("url")).cast("string"))
+    """Addresses of four forms, some with impossible days, one an order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.date_in_url(F.expr(URL)).cast("string").alias("day"))
 
 
-@query(_values(NEXT_PAGES, "url, following"))
+@query(rf"""WITH t AS (SELECT o_orderkey, {LIST_URL} AS url FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(url, '/[0-9]+\.html$') THEN concat('/xs/', CAST(regexp_extract(url, '([0-9]+)\.html$', 1) AS BIGINT) + 1, '.html') WHEN ends_with(url, '/') THEN concat(rtrim(url, '/'), '/2.html') END AS following FROM t""")
 def next_pages(spark, sf_dir):
-    """D19."""
-    return _literals(spark, [(a,) for a, _ in NEXT_PAGES], "url string").withColumn("following", D.next_page(F.col("url")))
+    """Addresses of lists, one an order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.next_page(F.expr(LIST_URL)).alias("following"))
 
 
-@query(_values(YEARS, "s, p, t, year"))
+@query(f"""WITH t AS (SELECT o_orderkey, {STARTED} AS s, {PUBLISHED} AS p, {YEAR_TITLE} AS t FROM orders)
+SELECT o_orderkey, coalesce(substring(s, 1, 4), CASE WHEN regexp_matches(substring(trim(p), 1, 4), '^[0-9]+$') THEN substring(trim(p), 1, 4) END, nullif(regexp_extract(t, '[0-9]{{4}}'), ''), '其他') AS year FROM t""")
 def notice_years(spark, sf_dir):
-    """D17."""
-    return _literals(spark, [r[:3] for r in YEARS], "s string, p string, t string").withColumn("year", D.year_of(F.col("s"), F.col("p"), F.col("t")))
+    """Years from start, publishing or title, one an order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.year_of(F.expr(STARTED), F.expr(PUBLISHED), F.expr(YEAR_TITLE)).alias("year"))
 
 
-@query(_values(LATE, "s, p, late"))
+@query(f"""WITH t AS (SELECT o_orderkey, CAST({HELD} AS TIMESTAMP) AS s, CASE WHEN length({TOLD}) = 19 THEN CAST({TOLD} AS TIMESTAMP) END AS p, coalesce({TOLD_BY}, '') AS told_by FROM orders)
+SELECT o_orderkey, coalesce(CASE WHEN told_by = 'url_proxy' THEN date_diff('day', s, p) > 1 WHEN strftime(s, '%H:%M:%S') <> '00:00:00' THEN p > s ELSE date_diff('day', s, p) > 0 END, false) AS late FROM t""")
 def late_notices(spark, sf_dir):
-    """F5."""
-    return _literals(spark, [r[:2] for r in LATE], "s string, p string").withColumn("late", P.is_late(F.col("s"), F.col("p"), F.lit(None).cast("string")))
+    """notices told of up to two days before and after they are held, one an order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.is_late(F.expr(HELD), F.expr(TOLD), F.expr(TOLD_BY)).alias("late"))
 
 
-@query(_values(NAMES, "name, ok"))
+@query(rf"""WITH t AS (SELECT o_orderkey, {NAME} AS n FROM orders) SELECT o_orderkey, length(n) BETWEEN 2 AND 15 AND NOT {_has_any('n', P.NO_NAME)} AND regexp_matches(n, '[\pL\pM]') AS ok FROM t""")
 def speaker_names(spark, sf_dir):
-    """F14."""
-    return _literals(spark, [r[:1] for r in NAMES], "name string").withColumn("ok", P.is_speaker(F.col("name")))
-
-
-@query(_values(NEWS, "title, body, rule"))
+    """names, words of forms, numbers, one an order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.is_speaker(F.expr(NAME)).alias("ok"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {NEWS_TITLE} AS t, {NEWS_BODY} AS b FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(b, '{P.RETRO_STRONG}') THEN 'retro-summary'
+  WHEN NOT regexp_matches(t, '通知|预告|公示|启事|将|拟|定于') AND regexp_matches(t, '举办|开展|举行') AND regexp_matches(t, '讲座|报告会|学术报告') THEN 'title-conduct'
+  WHEN regexp_matches(t, '回顾([^与及·、—－和]|$)') AND NOT regexp_matches(t, '{P.TITLE_AHEAD}') THEN 'title-retro'
+  WHEN regexp_matches(t, '{P.TITLE_DONE}') THEN 'title-done'
+  WHEN regexp_matches(b, '终审[:：]') THEN 'signature-block'
+  WHEN regexp_matches(b, '20[0-9]{{2}}年[0-9]{{1,2}}月[0-9]{{1,2}}日.{{0,50}}{P.DONE}') THEN 'narrative-completion'
+  WHEN regexp_matches(t, '^我院.{{0,14}}参加') THEN 'title-participate'
+  WHEN length(b) >= 30 AND NOT regexp_matches(b, '(时间|地点|主讲|主办|承办)[\\s:：．·0-9一-龥]')
+    AND {' + '.join(f"CAST(contains(b, '{m}') AS INT)" for m in P.MARKERS)} >= CASE WHEN length(b) > 200 THEN 1 ELSE 2 END THEN 'narrative-process' END AS rule FROM t""")
 def news_rules(spark, sf_dir):
-    """F6-F8."""
-    return _literals(spark, [r[:2] for r in NEWS], "title string, body string").withColumn("rule", P.news_rule(F.col("title"), F.col("body"), F.lit(None).cast("string")))
+    """The whole text of every document with a title and an ending of reports."""
+    return table(spark, sf_dir, "documents").select("doc_id", P.news_rule(F.expr(NEWS_TITLE), F.expr(NEWS_BODY), F.lit(None).cast("string")).alias("rule"))
 
 
-@query(_values(SEGMENTS, "seg, s, e"))
+@query(f"""WITH g AS (SELECT o_orderkey, replace({SEGMENT}, ' ', '') AS g FROM orders),
+h AS (SELECT *, CASE WHEN regexp_matches(g, '[0-9]{{4}}年') THEN {_ymd('g', '([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})[日号]')} WHEN regexp_matches(g, '[0-9]-[0-9]{{2}}-[0-9]') THEN {_ymd('g', '([0-9]{4})-([0-9]{2})-([0-9]{2})')} WHEN contains(g, '月') THEN {_ymd('g', '([0-9]{1,2})月([0-9]{1,2})', '2024')} ELSE {_ymd('g', '([0-9]{1,2})/([0-9]{1,2})', '2024')} END AS d,
+  regexp_extract_all(g, '([0-9]{{1,2}})[:：]([0-9]{{2}})', 1) AS hs, regexp_extract_all(g, '([0-9]{{1,2}})[:：]([0-9]{{2}})', 2) AS ms, regexp_extract(g, '([0-9]{{1,2}})点', 1) AS said, CASE WHEN regexp_matches(g, '下午|晚上') THEN 12 ELSE 0 END AS more FROM g),
+c AS (SELECT *, CASE WHEN len(hs) = 0 AND said <> '' THEN [said] ELSE hs END AS hh, CASE WHEN len(hs) = 0 AND contains(g, '半') THEN ['30'] ELSE ms END AS mm FROM h),
+k AS (SELECT *, [CASE WHEN CAST(x AS INT) < 12 THEN CAST(x AS INT) + more ELSE CAST(x AS INT) END for x in hh] AS h24 FROM c)
+SELECT o_orderkey, concat_ws(' ', CAST(d AS VARCHAR), CASE WHEN d IS NULL THEN NULL WHEN len(h24) = 0 THEN '00:00:00' ELSE concat(lpad(CAST(h24[1] AS VARCHAR), 2, '0'), ':', mm[1], ':00') END) AS s,
+  CASE WHEN d IS NOT NULL AND len(h24) > 1 THEN concat(CAST(d AS VARCHAR), ' ', lpad(CAST(h24[2] AS VARCHAR), 2, '0'), ':', mm[2], ':00') END AS e FROM k""")
 def segment_times(spark, sf_dir):
-    """D1-D3."""
-    t = D.segment_time(F.col("seg"), F.lit(2024), F.lit(None).cast("date"))
-    return _literals(spark, [r[:1] for r in SEGMENTS], "seg string").withColumns({"s": t["start"].cast("string"), "e": t["end"].cast("string")})
+    """Times as notices write them, some on impossible days, one an order; no start is
+    an empty text."""
+    t = D.segment_time(F.expr(SEGMENT), F.lit(2024), F.lit(None).cast("date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(t["start"].cast("string"), F.lit("")).alias("s"), t["end"].cast("string").alias("e"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'copyright') THEN 'a' WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'b' WHEN starts_with(text, 'The') THEN 'c' END AS rule FROM documents""")
