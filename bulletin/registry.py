@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import dates as D, predicates as P, text as T
+from .functions import dates as D, lecture_time as L, predicates as P, text as T
 from .operators import counters, cube, dedup, links, maintain, resolve, serve, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,6 +469,22 @@ def segment_times(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(t["start"].cast("string"), F.lit("")).alias("s"), t["end"].cast("string").alias("e"))
 
 
+BODY = f"concat('报名时间：2020年1月1日', chr(10), CASE o_orderkey % 4 WHEN 0 THEN concat('讲座时间：', {_DAY}, ' 14:30-16:00') WHEN 1 THEN concat('举办讲座的时间：', {_BARE_M}, '月', {_BARE_D}, '日 上午9:05') WHEN 2 THEN concat('地点：石牌 ', {_DAY}) ELSE concat('讲座时间：', {_BARE_M}, '月', {_BARE_D}, '日') END)"
+BODY_TOLD = f"CASE WHEN o_orderkey % 3 = 0 THEN concat({_Y}, '-01-05') END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, o_orderkey % 4 AS form, {_DATE} AS d, {BODY_TOLD} AS told FROM orders),
+f AS (SELECT *, CASE WHEN form = 0 AND CAST(d AS VARCHAR) = told THEN DATE '2020-01-01' WHEN form IN (0, 2) THEN d ELSE try_cast(concat(CASE WHEN told IS NULL THEN '2024' ELSE substring(told, 1, 4) END, substring(CAST(d AS VARCHAR), 5)) AS DATE) END AS own FROM t)
+SELECT o_orderkey, CASE form WHEN 2 THEN '2020-01-01 00:00:00' ELSE concat(CAST(own AS VARCHAR), CASE form WHEN 0 THEN ' 14:30:00' WHEN 1 THEN ' 09:05:00' ELSE ' 00:00:00' END) END AS s, CASE WHEN form = 0 THEN concat(CAST(own AS VARCHAR), ' 16:00:00') END AS e,
+  CASE WHEN form = 0 AND year(own) > 2020 THEN 'authoritative-label' WHEN form IN (0, 2) THEN 'general-body-full' WHEN told IS NULL THEN 'monthday-nopublish' WHEN CAST(own AS VARCHAR) = told THEN 'same-day-normal' ELSE 'same-year' END AS note FROM f""")
+def lecture_times(spark, sf_dir):
+    """Bodies with labels of several strengths, dates with and without a year, one an order.
+    A date that is the time of publishing doesn't count, so the day of entry is left there."""
+    none = F.lit(None).cast("int")
+    t = L.lecture_time(F.expr(BODY), F.lit("x"), none, none, F.expr(BODY_TOLD), F.lit(2024))
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t")).select("o_orderkey", F.col("t.start").cast("string").alias("s"), F.col("t.end").cast("string").alias("e"), F.col("t.note").alias("note"))
+
+
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'copyright') THEN 'a' WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'b' WHEN starts_with(text, 'The') THEN 'c' END AS rule FROM documents""")
 def classify_first_rule(spark, sf_dir):
     """F6's shape over all documents: the first rule that holds."""
