@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, langid, licences, packing, partenum, rollup, suffixes, topk
+from . import ann, bpe, chat, collocations, fim, langid, licences, lzprint, packing, partenum, rollup, suffixes, topk
 from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,9 +141,64 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return laid.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+SQL11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST(('0x' || d[1:8]) AS BIGINT) AS h1, CAST(('0x' || d[9:16]) AS BIGINT) AS h2,
+    CAST(('0x' || d[17:24]) AS BIGINT) AS h3, CAST(('0x' || d[25:32]) AS BIGINT) AS h4
+  FROM d),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL12 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM t),
+g AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM p, unnest(range(1, 6)) AS x(m), unnest(range(1, len(w) - m + 2)) AS y(i) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS HUGEINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, m, phrase, CAST(a AS HUGEINT) AS a, string_split(phrase, ' ') AS w FROM g WHERE a >= 100),
+c AS (
+  SELECT f.lang, f.phrase, f.m, f.a, k, l.a AS l, r.a AS r, n, CAST(1000 AS HUGEINT) * f.a * n // (l.a * r.a) AS score
+  FROM f, unnest(range(1, m)) AS x(k) JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1 : k], ' ')
+  JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[k + 1 : f.m], ' ') JOIN n ON n.lang = f.lang WHERE f.m > 1),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer FROM f, unnest(range(2, m)) AS x(s), unnest(range(1, m - s + 2)) AS y(i) GROUP BY ALL),
+o AS (
+  SELECT b.*, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS BIGINT) AS rank
+  FROM b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * b.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lzprint.against_neighbours(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_byte_bpe, op3_embedding_dedup, op4_token_counts, op5_license_scan, op6_ngram_jaccard, op7_exact_top_k, op8_chat_formatting, op9_suffix_dedup, op10_best_fit_packing)
+    for f in (op1_language_id, op2_byte_bpe, op3_embedding_dedup, op4_token_counts, op5_license_scan, op6_ngram_jaccard, op7_exact_top_k, op8_chat_formatting, op9_suffix_dedup, op10_best_fit_packing, op11_fill_in_middle, op12_collocations, op13_document_fingerprints)
 }
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": SQL3,
@@ -151,4 +206,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": SQL6,
     "op7_exact_top_k": SQL7,
     "op8_chat_formatting": SQL8,
+    "op11_fill_in_middle": SQL11,
+    "op12_collocations": SQL12,
 }
