@@ -46,9 +46,9 @@ from .common import Scratch, tidy
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 UNKNOWN = "und"
 #: Words in a shard, and bytes of text that are cut into words at a time.
-SHARD, BLOCK = 1 << 20, 1 << 22
-#: Bits of a bitmap of what is frequent: 16 MB.
-BITS = 27
+SHARD, BLOCK = 1 << 19, 1 << 22
+#: Bits of a bitmap of what is frequent, as a power of two: 4 MB.
+BITS = 25
 #: What parts pieces becomes a line feed, tabs become blanks, A-Z become small.
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(10 if b in _CUTS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,57 +62,42 @@ class Shard:
 
     def __init__(self, lang: str, size: int, longest: int):
         self.lang, self.size, self.keep = lang, size, longest - 1
-        self.start([], 0)
+        self.start([])
 
-    def start(self, words: list[bytes], overlap: int) -> None:
-        self.number: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
-        self.parts, self.n, self.overlap, self.open = [], 0, overlap, False
-        if words:
-            self.take(words)
-            self.n, self.open = 0, True
+    def start(self, words: list[bytes]) -> None:
+        self.number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.number[b"\n"]  # the end of a piece is 0
+        self.parts, self.n, self.overlap = [], 0, len(words)
+        self.take(words)
+        self.n = 0
 
     def take(self, words: list[bytes]) -> None:
-        ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-        self.parts.append(ids)
-        self.n += len(ids)
+        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        self.n += len(words)
 
     def add(self, text: bytes) -> Iterator[dict]:
         """Take a text up; gives the shards that it fills."""
         text, done = text.translate(_TABLE), 0
         while done < len(text):
             stop = min((x for x in (text.find(b" ", done + BLOCK), text.find(b"\n", done + BLOCK)) if x >= 0), default=len(text))
-            for k, piece in enumerate(text[done:stop].split(b"\n")):
-                if k:
-                    yield from self.close()
-                words = [w for w in piece.split(b" ") if w]
-                for at in range(0, len(words), self.size):
-                    self.take(words[at : at + self.size])
-                    self.open = True
-                    if self.n >= self.size:
-                        yield from self.flush()
+            words = [w for w in text[done:stop].replace(b"\n", b" \n ").split(b" ") if w]
+            for at in range(0, len(words), self.size):
+                self.take(words[at : at + self.size])
+                if self.n >= self.size:
+                    yield from self.flush()
             done = stop
-        yield from self.close()
-
-    def close(self) -> Iterator[dict]:
-        """The piece ends."""
-        if self.open:
-            self.parts.append(np.zeros(1, np.int32))
-            self.open = False
-            if self.n >= self.size:
-                yield from self.flush()
+        self.parts.append(np.zeros(1, np.int32))
 
     def flush(self) -> Iterator[dict]:
         if not self.n:
             return
         ids = np.concatenate(self.parts)
-        words = list(self.number)
-        piece = ids[np.flatnonzero(ids == 0)[-1] + 1 :] if (ids == 0).any() else ids
-        counts = np.bincount(ids, minlength=len(words) + 1)[1:]
-        if self.overlap:
-            counts = counts - np.bincount(ids[: self.overlap], minlength=len(words) + 1)[1:]
+        words = list(self.number)[1:]
+        counts = np.bincount(ids, minlength=len(words) + 1)[1:] - np.bincount(ids[: self.overlap], minlength=len(words) + 1)[1:]
         yield {"lang": self.lang, "overlap": self.overlap, "words": words, "counts": counts, "ids": ids.tobytes()}
-        again = [words[i - 1] for i in piece[-self.keep :].tolist()] if self.open and self.keep else []
-        self.start(again, len(again))
+        ends = np.flatnonzero(ids == 0)
+        piece = ids[ends[-1] + 1 :] if len(ends) else ids  # goes on in the next shard
+        self.start([words[i - 1] for i in piece[len(piece) - min(self.keep, len(piece)) :].tolist()])
 
 
 def shards(docs: DataFrame, size: int = SHARD, longest: int = LONGEST) -> DataFrame:
