@@ -72,33 +72,35 @@ def segment_time(segment: Column, default_year: Column, published: Column) -> Co
     return let(squeeze(F.coalesce(segment, F.lit(""))), lambda seg: _segment_time(seg, default_year, published))
 
 
+# Forms of dates; of the numeric ones the year stands first.
+ZH_DATE = r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})[日号]"
+NUMERIC_DATES = (r"([0-9]{4})-([0-9]{2})-([0-9]{2})", r"([0-9]{4})\.([0-9]{2})\.([0-9]{2})", r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", r"([0-9]{4})/([0-9]{2})([0-9]{2})")
+MONTH_DAY, SLASH_DAY = r"([0-9]{1,2})月([0-9]{1,2})[日号]?", r"(?<!20[0-9]{2}/)([0-9]{1,2})/([0-9]{1,2})"
+
+
 def _segment_time(seg: Column, default_year: Column, published: Column) -> Column:
-    after = lambda hit: F.when(hit != "", F.substring(seg, F.position(hit, seg), F.length(seg)))
-
-    def by(pattern: str, year: Column | None = None):
-        hit = F.regexp_extract(seg, pattern, 0)
-        parts = [F.regexp_extract(seg, pattern, k) for k in ((1, 2, 3) if year is None else (1, 2))]
-        return make_day(*(parts if year is None else (year, *parts))), after(hit), hit
-
-    def numeric(pattern: str):
-        hits = F.regexp_extract_all(seg, F.lit(pattern), F.lit(0))
-        dated = F.transform(hits, lambda h: F.struct(make_day(*(F.regexp_extract(h, pattern, k) for k in (1, 2, 3))).alias("d"), h.alias("h")))
-        left = F.filter(dated, lambda x: x["d"].isNotNull() & ~F.coalesce(x["d"] == published, F.lit(False)))
-        first = F.get(left, F.lit(0))
-        return first["d"], after(first["h"]), first["h"]
-
-    full_zh = by(r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})[日号]")
-    full = [numeric(p) for p in (r"([0-9]{4})-([0-9]{2})-([0-9]{2})", r"([0-9]{4})\.([0-9]{2})\.([0-9]{2})", r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", r"([0-9]{4})/([0-9]{2})([0-9]{2})")]
-    month_day = by(r"([0-9]{1,2})月([0-9]{1,2})[日号]?", default_year)
-    slash = by(r"(?<!20[0-9]{2}/)([0-9]{1,2})/([0-9]{1,2})", default_year)
-    has_zh = full_zh[2] != ""
-    choice = F.when(has_zh, F.struct(full_zh[0].alias("d"), full_zh[1].alias("s"), F.lit(True).alias("full")))
-    for d, s, _ in full:
-        choice = choice.when(d.isNotNull(), F.struct(d.alias("d"), s.alias("s"), F.lit(True).alias("full")))
-    for d, s, hit in (month_day, slash):
-        choice = choice.when(hit != "", F.struct(d.alias("d"), s.alias("s"), F.lit(False).alias("full")))
+    """Each form is looked for once in the segment; numbers are taken from what was found."""
+    found = F.struct(
+        F.regexp_extract(seg, ZH_DATE, 0).alias("zh"),
+        *(F.regexp_extract_all(seg, F.lit(p), F.lit(0)).alias(f"n{k}") for k, p in enumerate(NUMERIC_DATES)),
+        F.regexp_extract(seg, MONTH_DAY, 0).alias("md"),
+        F.regexp_extract(seg, SLASH_DAY, 0).alias("sd"),
+    )
+    part = lambda hit, pattern, *ks: [F.regexp_extract(hit, pattern, k) for k in ks]
+    choose = lambda d, hit, full: F.struct(d.alias("d"), hit.alias("h"), F.lit(full).alias("full"))
+
+    def numeric(hits: Column, pattern: str) -> Column:
+        dated = F.transform(hits, lambda h: choose(make_day(*part(h, pattern, 1, 2, 3)), h, True))
+        return F.get(F.filter(dated, lambda x: x["d"].isNotNull() & ~F.coalesce(x["d"] == published, F.lit(False))), F.lit(0))
+
+    def pick(f: Column) -> Column:
+        own = lambda hit, pattern: F.when(hit != "", choose(make_day(default_year, *part(hit, pattern, 1, 2)), hit, False))
+        other = F.coalesce(*(numeric(f[f"n{k}"], p) for k, p in enumerate(NUMERIC_DATES)), own(f["md"], MONTH_DAY), own(f["sd"], SLASH_DAY))
+        return F.when(f["zh"] != "", choose(make_day(*part(f["zh"], ZH_DATE, 1, 2, 3)), f["zh"], True)).otherwise(other)
+
+    behind = lambda c: F.substring(seg, F.position(c["h"], seg), F.length(seg))
     timed = lambda c, t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["has_time"].alias("has_time"), c["full"].alias("from_full"))
-    return let(choice, lambda c: F.when(c["d"].isNotNull(), let(times_on(c["d"], c["s"]), lambda t: timed(c, t))))
+    return let(let(found, pick), lambda c: F.when(c["d"].isNotNull(), let(times_on(c["d"], behind(c)), lambda t: timed(c, t))))
 
 
 def year_in(text: Column) -> Column:

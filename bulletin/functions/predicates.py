@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, functions as F
 
-from .dates import stamp
+from .dates import let, stamp
 from .text import CJK, strip
 
 # Words of lecture titles, and those that rule one out.
@@ -49,8 +49,9 @@ NO_NAME = (
 
 
 def any_of(c: Column, words: tuple[str, ...]) -> Column:
-    """Whether a text contains any of the words, as they are."""
-    return reduce(lambda x, w: x | c.contains(w), words, F.lit(False))
+    """Whether a text contains any of the words, as they are: one pattern, so the text is
+    written and read once."""
+    return c.rlike("|".join(map(re.escape, words)))
 
 
 def _text(c: Column) -> Column:
@@ -156,10 +157,13 @@ NO_NAME_LATIN = ("professor", "dr", "mr", "ms", "presenter", "lecturer", "speake
 def looks_like_name(name: Column, forbidden: tuple[str, ...] = NO_NAME_PARTS, words: tuple[str, ...] = NO_NAME_WORDS) -> Column:
     """a Latin name, two to five Chinese letters, or both; no forbidden part, no word
     or run of words of the list, no title cut short."""
-    n = strip(_text(name))
-    cut = n.endswith("题") | (n.endswith("授") & ~n.endswith("教授")) | (n.endswith("士") & ~n.rlike("(博士|院士|硕士|学士)$"))
-    latin = n.rlike(r"^[A-Za-z]+(?:[.'·]?\s?[A-Za-z]+)*$") & ~F.lower(F.rtrim(n, F.lit("."))).isin(*NO_NAME_LATIN)
-    left = F.regexp_replace(n, "|".join(words), "") if words else n
-    chinese = n.rlike(f"^{CJK}{{2,5}}$") & (left != "") & ~n.isin(*words)
-    mixed = n.rlike(CJK) & n.rlike("[A-Za-z·]")
-    return (F.length(n) >= 2) & ~cut & ~any_of(n, forbidden) & (latin | chinese | mixed)
+
+    def test(n: Column) -> Column:
+        cut = n.endswith("题") | (n.endswith("授") & ~n.endswith("教授")) | (n.endswith("士") & ~n.rlike("(博士|院士|硕士|学士)$"))
+        latin = n.rlike(r"^[A-Za-z]+(?:[.'·]?\s?[A-Za-z]+)*$") & ~F.lower(F.rtrim(n, F.lit("."))).isin(*NO_NAME_LATIN)
+        left = F.regexp_replace(n, "|".join(words), "") if words else n
+        chinese = n.rlike(f"^{CJK}{{2,5}}$") & (left != "") & ~n.isin(*words)
+        mixed = n.rlike(CJK) & n.rlike("[A-Za-z·]")
+        return (F.length(n) >= 2) & ~cut & ~any_of(n, forbidden) & (latin | chinese | mixed)
+
+    return let(strip(_text(name)), test)
