@@ -4,13 +4,13 @@ Texts are cut into shards of words. A shard is written once: its distinct words,
 counts and the text as word ids, 0 between pieces. Whatever follows reads shards, not texts:
 
 1. Word counts of all shards, merged by (language, word), give the frequent words.
-2. Each shard, broken at all other words, is put in suffix order at depth 2; LCP intervals
-   count its pairs, merged by a 64-bit hash of the pair. A hash that comes under the least
-   count holds no frequent pair, so the others are a superset of the frequent pairs.
-3. Each shard, broken between all other pairs, is put in suffix order by prefix doubling,
-   to the longest phrase; its LCP intervals give the counts of its phrases of each length,
-   merged by (language, phrase). Every part of a frequent phrase is frequent, so nothing
-   frequent is lost, and all counts are exact whatever the hashes do.
+2. Each shard, broken at all other words, is put in suffix order at depth 3; LCP intervals
+   count its pairs and triples, merged by a 64-bit hash. A hash that comes under the least
+   count holds nothing frequent, so the others are a superset of what is frequent.
+3. Each shard, broken wherever a pair or a triple isn't among them, is put in suffix order by
+   prefix doubling, to the longest phrase; its LCP intervals give the counts of its phrases of
+   each length, merged by (language, phrase). Every part of a frequent phrase is frequent, so
+   nothing frequent is lost, and all counts are exact whatever the hashes do.
 
 What is frequent goes to the tasks as a bitmap of fixed size over hashes (`BITS`): its size
 doesn't grow with the corpus. A bit shared by a rare word costs time, not exactness.
@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, tidy
+from .common import Scratch, tidy, trim
 
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 UNKNOWN = "und"
@@ -186,13 +186,17 @@ def intervals(order: np.ndarray, common: np.ndarray, room: np.ndarray, m: int) -
     return order[bounds[:-1]], counts
 
 
+def run_from(yes: np.ndarray) -> np.ndarray:
+    """How many places in a row hold from each place on."""
+    places = np.arange(len(yes))
+    stops = np.append(np.flatnonzero(~yes), len(yes))
+    return stops[np.searchsorted(stops, places)] - places
+
+
 def room_of(joined: np.ndarray) -> np.ndarray:
     """Words from each place until a phrase must end: ``joined`` says which words hold on to the
-    next one; a place from which no phrase may begin has 0 where it isn't a word."""
-    n = len(joined)
-    stops = np.flatnonzero(~joined)
-    nearest = stops[np.searchsorted(stops, np.arange(n))] if n else np.empty(0, np.int64)
-    return nearest - np.arange(n) + 1
+    next one."""
+    return run_from(joined) + 1
 
 
 # ------------------------------------------------------------------------- what is frequent
@@ -208,7 +212,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of words by their hashes, in order."""
+    """Of two parts by their hashes, in order."""
     with np.errstate(over="ignore"):
         return mixed(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
 
@@ -247,7 +251,10 @@ def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values, np.frombuffer(batch.column(3)[k].as_buffer(), np.int32)
+            ids = np.frombuffer(batch.column(3)[k].as_buffer(), np.int32)
+            yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values, ids
+            if len(ids) > 1 << 16:
+                trim()
 
 
 def word_counts(found: DataFrame) -> DataFrame:
@@ -264,46 +271,73 @@ def _hash_of_words(lang: pd.Series, phrase: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64))
 
 
-def pair_counts(found: DataFrame, frequent) -> DataFrame:
-    """h, a of every pair of frequent words of the shards."""
+class Words:
+    """A shard's words with what is known of them: hashes and where the frequent ones stand."""
+
+    def __init__(self, lang: str, words: pa.Array, ids: np.ndarray, frequent: np.ndarray):
+        hashes = np.append(np.uint64(0), word_hashes(lang, words))
+        self.hash = hashes[ids]
+        self.known = np.append(False, held(frequent, hashes[1:]))[ids]
+        self.joined = self.known & np.append(self.known[1:], False)[: len(ids)]
+
+    def grams(self, at: np.ndarray, m: int) -> np.ndarray:
+        """Hashes of the ``m`` words from each place."""
+        out = self.hash[at]
+        for k in range(1, m):
+            out = pair_hash(out, self.hash[at + k])
+        return out
+
+    def room(self, pairs_and_triples: np.ndarray | None = None) -> np.ndarray:
+        """Words from each place until a phrase must end."""
+        if pairs_and_triples is None:
+            room = room_of(self.joined)
+        else:
+            joined, three = self.joined.copy(), np.zeros(len(self.joined), bool)
+            at = np.flatnonzero(joined)
+            joined[at] = held(pairs_and_triples, self.grams(at, 2))
+            at = np.flatnonzero(joined[:-1] & joined[1:])
+            three[at] = held(pairs_and_triples, self.grams(at, 3))
+            room = np.where(joined, 2 + run_from(three), 1)
+        room[~self.known] = 0
+        return room
+
+
+def counted_again(overlap: int, room: np.ndarray, m: int) -> np.ndarray:
+    """Places of phrases that were counted in the shard before, too."""
+    return np.array([i for i in range(overlap - m + 1) if room[i] >= m], np.int64)
+
+
+def gram_counts(found: DataFrame, frequent) -> DataFrame:
+    """h, a of every pair and triple of frequent words of the shards."""
     schema = pa.schema([("h", pa.int64()), ("a", pa.int64())])
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, overlap, words, ids in rows_of(batches):
-            h = np.append(np.uint64(0), word_hashes(lang, words))
-            known = np.append(False, held(frequent.value, h[1:]))[ids]
-            room = room_of(np.append(known[1:], False) & known)
-            room[~known] = 0
-            order, common = suffix_order(ids, room, 2)
-            at, counts = intervals(order, common, room, 2)
-            for i in range(overlap - 1):  # counted in the shard before, too
-                if room[i] >= 2:
-                    at, counts = np.append(at, i), np.append(counts, -1)
-            pairs = pair_hash(h[ids[at]], h[ids[at + 1]]) if len(at) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64), pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+            own = Words(lang, words, ids, frequent.value)
+            room = own.room()
+            order, common = suffix_order(ids, room, 3)
+            for m in (2, 3):
+                at, counts = intervals(order, common, room, m)
+                again = counted_again(overlap, room, m)
+                at, counts = np.concatenate((at, again)), np.concatenate((counts, np.full(len(again), -1)))
+                yield pa.RecordBatch.from_arrays([pa.array(own.grams(at, m).view(np.int64), pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
     return found.select("lang", "overlap", "words", "ids").mapInArrow(run, "h bigint, a bigint").groupBy("h").agg(F.sum("a").alias("a"))
 
 
-def phrase_counts(found: DataFrame, frequent, pairs, longest: int) -> DataFrame:
-    """lang, phrase, a, m of every phrase of 2 to ``longest`` words whose pairs are all in ``pairs``."""
+def phrase_counts(found: DataFrame, frequent, grams, longest: int) -> DataFrame:
+    """lang, phrase, a, m of every phrase of 2 to ``longest`` words whose pairs and triples are all in ``grams``."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("m", pa.int32()), ("a", pa.int64())])
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, overlap, words, ids in rows_of(batches):
-            h = np.append(np.uint64(0), word_hashes(lang, words))
-            known = np.append(False, held(frequent.value, h[1:]))[ids]
-            joined = np.append(known[1:], False) & known
-            at = np.flatnonzero(joined)
-            joined[at] = held(pairs.value, pair_hash(h[ids[at]], h[ids[at + 1]]))
-            room = room_of(joined)
-            room[~known] = 0
+            room = Words(lang, words, ids, frequent.value).room(grams.value)
             order, common = suffix_order(ids, room, longest)
             for m in range(2, longest + 1):
                 at, counts = intervals(order, common, room, m)
-                again = np.array([i for i in range(overlap - m + 1) if room[i] >= m], np.int64)
+                again = counted_again(overlap, room, m)
                 at, counts = np.concatenate((at, again)), np.concatenate((counts, np.full(len(again), -1)))
                 phrases = pc.binary_join_element_wise(*(words.take(pa.array(ids[at + k] - 1)) for k in range(m)), " ") if len(at) else pa.array([], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrases, pa.array(np.full(len(at), m, np.int32)), pa.array(counts, pa.int64())], schema=schema)
@@ -349,8 +383,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     words = counts.filter(F.col("a") >= least)
     hash_of = pandas_udf(_hash_of_words, "bigint")
     frequent = bitmap(spark, words.select(hash_of("lang", "phrase").alias("h")), bits)
-    pairs = bitmap(spark, pair_counts(found, frequent).filter(F.col("a") >= least).select("h"), bits)
-    candidates = scratch.keep(phrase_counts(found, frequent, pairs, longest).filter(F.col("a") >= least))
+    grams = bitmap(spark, gram_counts(found, frequent).filter(F.col("a") >= least).select("h"), bits)
+    candidates = scratch.keep(phrase_counts(found, frequent, grams, longest).filter(F.col("a") >= least))
     scratch.drop(found)
     kept = scored(words, candidates, totals).join(explained(candidates, percent), ["lang", "phrase"], "left_anti")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
