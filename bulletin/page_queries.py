@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import labels
-from .operators import split
+from .operators import pages, split
 from .registry import _BARE_D, _BARE_M, _DATE, _Y, query, table
 
 # ------------------------------------------------------------------------- sessions
@@ -87,3 +87,40 @@ def label_fields(spark, sf_dir):
     found = table(spark, sf_dir, "orders").select("o_orderkey", labels.scan(labels.flatten(F.expr(LABELLED))).alias("f"))
     of = lambda names: labels.field(F.col("f"), names)
     return found.select("o_orderkey", of(labels.TOPIC).alias("topic"), of(labels.PLACE).alias("place"), of(labels.SPEAKER).alias("speaker"), of(labels.INVITER).alias("inviter"))
+
+
+# ------------------------------------------------------------------------- whole pages
+
+_C = "CAST(c_custkey AS STRING)"
+PAGE_BODY = f"""CASE c_custkey % 5
+  WHEN 0 THEN concat('<p>讲座题目：论', {_C}, '</p><p>时间：2025年3月11日 14:30-16:00</p><p>地点：理', {_C}, '栋 302 腾讯会议 123</p><p>报告人：张三丰 教授（北京大学）<p>邀请人：李四光</p><p>摘要：本次报告介绍之', {_C}, '。</p>')
+  WHEN 1 THEN concat('<p>Topic: on ', {_C}, '</p><p>Speaker: Yan Zhang, University of Oslo</p><b>时间：</b>2025年3月12日 9:05<br><p>Venue: 石牌校区</p>')
+  WHEN 2 THEN concat('<p>报告人：国家杰青刘梦赤教授长江学者陈建二教授</p><p>时间：2025年3月13日 下午3:00</p><p>题目：谈', {_C}, '</p><!-- 题目：错 -->')
+  WHEN 3 THEN '<p>讲座圆满结束。</p>'
+  ELSE concat('<p>报告一 时间：2025年3月14日 9:00-9:50 题目：甲', {_C}, ' 报告人：王小明教授</p><p>报告二 时间：2025年3月14日 10:00-10:40 题目：乙', {_C}, '</p>') END"""
+PAGE_TITLE = f"concat('学术讲座：第', {_C}, '号研究')"
+PAGE = f"""concat('<html><head><title>站点</title><script>var a = "</p>题目：错误";</script></head><body><div class="nav"><a href="/l">更多讲座与报告信息</a></div>',
+  CASE WHEN c_custkey % 2 = 0 THEN concat('<h1>通知公告</h1><h3>', {PAGE_TITLE}, '</h3>') ELSE concat('<h1>', {PAGE_TITLE}, '</h1>') END, '<div class="box wp_articlecontent">', {PAGE_BODY}, '</div></body></html>')"""
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_custkey % 5 AS form, {_C} AS c, {PAGE_TITLE} AS title FROM customer WHERE c_custkey % 5 <> 3),
+r AS (SELECT *, k FROM p, (VALUES (1), (2)) AS x(k) WHERE k = 1 OR form IN (2, 4))
+SELECT c_custkey, CASE WHEN form IN (2, 4) THEN k END AS no, concat(title, CASE WHEN form = 4 THEN concat('— ', CASE k WHEN 1 THEN '甲' ELSE '乙' END, c) ELSE '' END) AS title,
+  CASE form WHEN 0 THEN concat('论', c) WHEN 1 THEN concat('on ', c) WHEN 2 THEN concat('谈', c) ELSE concat(CASE k WHEN 1 THEN '甲' ELSE '乙' END, c) END AS topic,
+  CASE form WHEN 0 THEN '2025-03-11 14:30:00' WHEN 1 THEN '2025-03-12 09:05:00' WHEN 2 THEN '2025-03-13 15:00:00' ELSE CASE k WHEN 1 THEN '2025-03-14 09:00:00' ELSE '2025-03-14 10:00:00' END END AS s,
+  CASE form WHEN 0 THEN '2025-03-11 16:00:00' WHEN 4 THEN CASE k WHEN 1 THEN '2025-03-14 09:50:00' ELSE '2025-03-14 10:40:00' END END AS e,
+  CASE form WHEN 0 THEN concat('理', c, '栋302') WHEN 1 THEN '石牌校区' ELSE '' END AS place, CASE form WHEN 0 THEN '张三丰' WHEN 1 THEN 'Yan Zhang' WHEN 2 THEN CASE k WHEN 1 THEN '刘梦赤' ELSE '陈建二' END ELSE '王小明' END AS speaker,
+  CASE form WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN CASE k WHEN 1 THEN '国家杰青' ELSE '长江学者' END ELSE '教授' END AS post, CASE form WHEN 0 THEN '北京大学' WHEN 1 THEN 'University of Oslo' ELSE '' END AS unit, CASE WHEN form = 0 THEN '李四光' ELSE '' END AS inviter,
+  CASE form WHEN 0 THEN concat('本次报告介绍之', c, '。') WHEN 1 THEN concat('Topic: on ', c, ' Speaker: Yan Zhang, University of Oslo') ELSE '' END AS abstract FROM r""")
+def notice_records(spark, sf_dir):
+    """Records of pages of five kinds, one page a customer: labelled, Latin, a run of
+    speakers, a report (dropped), two sessions; with scripts, comments and unclosed elements."""
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.lit("https://x.test/n.html").alias("url"), F.expr(PAGE).alias("html"))
+    rows = pages.page_records(made, "c_custkey")
+    return rows.select("c_custkey", F.col("lectureIndex").alias("no"), "title", "topic", F.col("lectureStart").alias("s"), F.col("lectureEnd").alias("e"), F.col("location").alias("place"), "speaker", F.col("speakerTitle").alias("post"), F.col("speakerAffiliation").alias("unit"), "inviter", "abstract")
+
+
+@query()
+def page_records(spark, sf_dir):
+    """P6 over every page: HTML as it comes, with decoys in scripts, comments and advertisements."""
+    return pages.page_records(table(spark, sf_dir, "pages"))

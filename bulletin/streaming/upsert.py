@@ -1,12 +1,11 @@
 """ST3, ST5: incremental ingest: each micro-batch is merged into a new version of the table,
 so readers never see half a version. A version bears the run and the batch that made it: a
 batch that comes again is known and changes nothing, and one of a new run, whatever its
-number, is merged onto what is there. One query a checkpoint keeps runs apart."""
+number, is merged onto what is there. A run is a checkpoint's life: its id is the one that the
+checkpoint's metadata bears, which is new when a checkpoint was deleted, whatever its path."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.maintain import upsert
@@ -56,7 +55,12 @@ class VersionedTable:
         upsert(self.read(), fresh, key, order).write.mode("overwrite").parquet(f"{self.path}/v={n}-{run}-{batch}")
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to: written before its first batch."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first().id.replace("-", "")
+
+
 def ingest(stream: DataFrame, table: VersionedTable, key: str, order: str, checkpoint: str):
     """Everything that has come since the last run, then the query ends."""
-    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: table.merge(df, n, key, order, run)).start()
+    merge = lambda df, n: table.merge(df, n, key, order, run_of(table.spark, checkpoint))
+    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(merge).start()

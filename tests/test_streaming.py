@@ -56,3 +56,14 @@ def test_ingest_twice_over_a_table_that_exists(spark, tmp_path):
     for _ in range(2):
         upsert.ingest(rows, t, "k", "ord", str(tmp_path / "cp")).awaitTermination()
         assert sorted(r.k for r in t.read().collect()) == ["a", "b", "z"]
+
+
+def test_rows_after_a_deleted_checkpoint_are_not_lost(spark, tmp_path):
+    import shutil
+
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"), "k string, v int, ord int")
+    for k in "ab":
+        rows = batches(spark, tmp_path / f"in-{k}", [spark.createDataFrame([(k, 1, 0)], t.schema)])
+        upsert.ingest(rows, t, "k", "ord", str(tmp_path / "cp")).awaitTermination()
+        shutil.rmtree(tmp_path / "cp")
+    assert sorted(r.k for r in t.read().collect()) == ["a", "b"]
