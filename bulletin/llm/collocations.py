@@ -4,9 +4,10 @@ Texts are cut into shards of words. A shard is written once: its distinct words,
 counts and the text as word ids, 0 between pieces. Whatever follows reads shards, not texts:
 
 1. Word counts of all shards, merged by (language, word), give the frequent words.
-2. Each shard, broken at all other words, is put in suffix order at depth 3; LCP intervals
-   count its pairs and triples, merged by a 64-bit hash. A hash that comes under the least
-   count holds nothing frequent, so the others are a superset of what is frequent.
+2. Each shard, broken at all other words, is put in suffix order at depth 2; LCP intervals
+   count its pairs, merged by a 40-bit hash. A hash that comes under the least count holds
+   nothing frequent, so the others are a superset of the frequent pairs. Triples, broken at
+   all other pairs, are counted the same way.
 3. Each shard, broken wherever a pair or a triple isn't among them, is put in suffix order by
    prefix doubling, to the longest phrase; its LCP intervals give the counts of its phrases of
    each length, merged by (language, phrase). Every part of a frequent phrase is frequent, so
@@ -49,6 +50,8 @@ UNKNOWN = "und"
 SHARD, BLOCK = 1 << 19, 1 << 22
 #: Bits of a bitmap of what is frequent, as a power of two: 4 MB.
 BITS = 25
+#: Bits of the hashes by which pairs and triples are merged.
+KEY = 40
 #: What parts pieces becomes a line feed, tabs become blanks, A-Z become small.
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(10 if b in _CUTS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -225,8 +228,9 @@ def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-def bitmap(spark: SparkSession, hashes: DataFrame, bits: int):
-    """A broadcast of 2**bits bits, those of ``hashes`` (one bigint column, ``h``) set."""
+def bitmap(spark: SparkSession, hashes: DataFrame, bits: int, width: int = 64):
+    """A broadcast of 2**bits bits, those of ``hashes`` (one bigint column, ``h``, of ``width`` bits) set by
+    their first bits."""
     low = min(bits, 19)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -235,7 +239,7 @@ def bitmap(spark: SparkSession, hashes: DataFrame, bits: int):
         np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "held": [held.tobytes()]})
 
-    place = F.shiftrightunsigned("h", 64 - bits)
+    place = F.shiftrightunsigned("h", width - bits)
     spots = hashes.select(F.shiftright(place, low).alias("block"), place.bitwiseAND(F.lit((1 << low) - 1)).alias("bit")).distinct()
     whole = np.zeros(1 << (bits - 3), np.uint8)
     for row in spots.groupBy("block").applyInPandas(block, "block bigint, held binary").collect():  # 2**bits bits in all
@@ -287,17 +291,18 @@ class Words:
             out = pair_hash(out, self.hash[at + k])
         return out
 
-    def room(self, pairs_and_triples: np.ndarray | None = None) -> np.ndarray:
-        """Words from each place until a phrase must end."""
-        if pairs_and_triples is None:
-            room = room_of(self.joined)
-        else:
-            joined, three = self.joined.copy(), np.zeros(len(self.joined), bool)
+    def room(self, levels: list[np.ndarray]) -> np.ndarray:
+        """Words from each place until a phrase must end; of ``levels`` the first has the pairs that
+        may stand in one, the second the triples."""
+        joined, three = self.joined.copy(), None
+        if levels:
             at = np.flatnonzero(joined)
-            joined[at] = held(pairs_and_triples, self.grams(at, 2))
+            joined[at] = held(levels[0], self.grams(at, 2))
+        if levels[1:]:
+            three = np.zeros(len(joined), bool)
             at = np.flatnonzero(joined[:-1] & joined[1:])
-            three[at] = held(pairs_and_triples, self.grams(at, 3))
-            room = np.where(joined, 2 + run_from(three), 1)
+            three[at] = held(levels[1], self.grams(at, 3))
+        room = room_of(joined) if three is None else np.where(joined, 2 + run_from(three), 1)
         room[~self.known] = 0
         return room
 
@@ -307,33 +312,32 @@ def counted_again(overlap: int, room: np.ndarray, m: int) -> np.ndarray:
     return np.array([i for i in range(overlap - m + 1) if room[i] >= m], np.int64)
 
 
-def gram_counts(found: DataFrame, frequent) -> DataFrame:
-    """h, a of every pair and triple of frequent words of the shards."""
+def gram_counts(found: DataFrame, frequent, levels: list) -> DataFrame:
+    """h, a of every pair of frequent words of the shards; with the pairs as a level, of every triple."""
     schema = pa.schema([("h", pa.int64()), ("a", pa.int64())])
+    m = len(levels) + 2
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, overlap, words, ids in rows_of(batches):
             own = Words(lang, words, ids, frequent.value)
-            room = own.room()
-            order, common = suffix_order(ids, room, 3)
-            for m in (2, 3):
-                at, counts = intervals(order, common, room, m)
-                again = counted_again(overlap, room, m)
-                at, counts = np.concatenate((at, again)), np.concatenate((counts, np.full(len(again), -1)))
-                yield pa.RecordBatch.from_arrays([pa.array(own.grams(at, m).view(np.int64), pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+            room = own.room([x.value for x in levels])
+            at, counts = intervals(*suffix_order(ids, room, m), room, m)
+            again = counted_again(overlap, room, m)
+            at, counts = np.concatenate((at, again)), np.concatenate((counts, np.full(len(again), -1)))
+            yield pa.RecordBatch.from_arrays([pa.array((own.grams(at, m) >> np.uint64(64 - KEY)).view(np.int64), pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
     return found.select("lang", "overlap", "words", "ids").mapInArrow(run, "h bigint, a bigint").groupBy("h").agg(F.sum("a").alias("a"))
 
 
-def phrase_counts(found: DataFrame, frequent, grams, longest: int) -> DataFrame:
-    """lang, phrase, a, m of every phrase of 2 to ``longest`` words whose pairs and triples are all in ``grams``."""
+def phrase_counts(found: DataFrame, frequent, levels: list, longest: int) -> DataFrame:
+    """lang, phrase, a, m of every phrase of 2 to ``longest`` words whose pairs and triples are all in ``levels``."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("m", pa.int32()), ("a", pa.int64())])
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, overlap, words, ids in rows_of(batches):
-            room = Words(lang, words, ids, frequent.value).room(grams.value)
+            room = Words(lang, words, ids, frequent.value).room([x.value for x in levels])
             order, common = suffix_order(ids, room, longest)
             for m in range(2, longest + 1):
                 at, counts = intervals(order, common, room, m)
@@ -383,8 +387,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     words = counts.filter(F.col("a") >= least)
     hash_of = pandas_udf(_hash_of_words, "bigint")
     frequent = bitmap(spark, words.select(hash_of("lang", "phrase").alias("h")), bits)
-    grams = bitmap(spark, gram_counts(found, frequent).filter(F.col("a") >= least).select("h"), bits)
-    candidates = scratch.keep(phrase_counts(found, frequent, grams, longest).filter(F.col("a") >= least))
+    levels: list = []
+    for _ in range(2):  # pairs, then triples
+        levels.append(bitmap(spark, gram_counts(found, frequent, levels[:]).filter(F.col("a") >= least).select("h"), bits, KEY))
+    candidates = scratch.keep(phrase_counts(found, frequent, levels, longest).filter(F.col("a") >= least))
     scratch.drop(found)
     kept = scored(words, candidates, totals).join(explained(candidates, percent), ["lang", "phrase"], "left_anti")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
