@@ -1,8 +1,8 @@
 """One event announced by several colleges: J6, J7, A12, U3, U4.
 
-Pairs are compared only inside a block of one speaker and day. Components are closed by a
-fixpoint of label propagation on the links, which stay inside blocks, and each cluster is
-folded into its fullest record.
+Pairs are compared only inside a block of one speaker and day, and there only if they share a
+rare token. Components are closed by rounds of stars, and each cluster is folded into its
+fullest record.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.predicates import is_speaker
 from ..functions.text import jaccard, normalize_speaker, topic_tokens
-from ..session import ready_to_checkpoint
+from ..session import Rounds
 from .dedup import completeness
 
 SIMILAR = 0.25
@@ -24,28 +24,56 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"block_speaker": speaker, "block_day": day}).filter(is_speaker(speaker) & (day != "") & ~day.startswith("0000"))
 
 
+def candidate_pairs(sets: DataFrame, least: float, keys: list[str]) -> DataFrame:
+    """(o1, o2) that may be similar: of two sets with similarity ``least`` (over 0) the first
+    n - ceil(least * n) + 1 tokens, the rarest of all rows first, share one. ``sets`` has keys, o, s."""
+    each = sets.filter(F.size("s") > 0).select(*keys, "o", F.monotonically_increasing_id().alias("id"), "s").select(*keys, "o", "id", F.size("s").alias("n"), F.explode("s").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "token").groupBy(*keys, "o", "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("s"))
+    # least * n is lowered by a hair, as a product may come out above the number it stands for
+    first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    prefix = ranked.select(*keys, "o", F.explode(first).alias("t")).select(*keys, "o", "t.token").distinct()
+    a, b = (prefix.withColumnRenamed("o", f"o{k}") for k in "12")
+    return a.join(b, [*keys, "token"]).filter("o1 < o2").select("o1", "o2").distinct()
+
+
 def similar_pairs(blocked: DataFrame, least: float = SIMILAR, keys: tuple[str, ...] = ("block_speaker", "block_day"), order: str = "ord") -> DataFrame:
     """(a, b, similarity) of rows of one block with different addresses, by the best of
-    the comparisons of title and topic."""
+    the comparisons of title and topic. Only rows that share a token of their prefixes are compared,
+    not all of a block; ``order`` is unique and ``least`` over 0."""
     t = blocked.select(*keys, F.col(order).alias("o"), F.col("sourceUrl").alias("u"), topic_tokens(F.col("title")).alias("t"), topic_tokens(F.col("topic")).alias("p"))
-    a, b = (t.select(*keys, *(F.col(c).alias(f"{c}{s}") for c in "outp")) for s in "12")
+    sets = t.select(*keys, "o", F.explode(F.array("t", "p")).alias("s"))
+    a, b = (t.select(*(F.col(c).alias(f"{c}{s}") for c in "outp")) for s in "12")
     best = F.greatest(*(jaccard(F.col(x), F.col(y)) for x, y in (("t1", "t2"), ("p1", "p2"), ("t1", "p2"), ("p1", "t2"))))
-    pairs = a.join(b, list(keys)).filter((F.col("o1") < F.col("o2")) & ~F.col("u1").eqNullSafe(F.col("u2")))
+    pairs = candidate_pairs(sets, least, list(keys)).join(a, "o1").join(b, "o2").filter(~F.col("u1").eqNullSafe(F.col("u2")))
     return pairs.select(F.col("o1").alias("a"), F.col("o2").alias("b"), best.alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def stars(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Links as stars, (a, b) with b the least of a's component, and the rounds that it took: in
+    each, every node hands its larger neighbours to its least one (large star), then its smaller ones (small star).
+    Rounds grow with the logarithm of the number of nodes, not with the length of chains."""
+    rounds = Rounds(pairs.sparkSession, "stars")
+    oriented = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges, n, before = rounds.keep(oriented(pairs)), 0, None
+    while True:
+        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+        if state == before:
+            return edges, n
+        before, n = state, n + 1
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = rounds.keep(both.join(to, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        down = oriented(large)
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(least, "a").select(F.col("b").alias("a"), "m").unionByName(least).select("a", F.col("m").alias("b"))
+        edges = rounds.keep(oriented(small))
+
+
 def close(pairs: DataFrame) -> DataFrame:
     """(node, cluster) of linked rows, the cluster being its least node."""
-    ready_to_checkpoint(pairs.sparkSession)
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "node").checkpoint()
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")).checkpoint()
-        moved = new.filter("moved").limit(1).count()
-        labels = new.select("node", "c")
-        if not moved:
-            return labels.withColumnRenamed("c", "cluster")
+    edges, _ = stars(pairs.select("a", "b"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
 
 
 def merge(rows: DataFrame, clusters: DataFrame, order: str = "ord") -> DataFrame:

@@ -4,11 +4,14 @@ from what was put in."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import labels
-from .operators import pages, split
+from .operators import frontier, pages, split
 from .registry import _BARE_D, _BARE_M, _DATE, _Y, query, table
+from .session import ready_to_checkpoint
 
 # ------------------------------------------------------------------------- sessions
 
@@ -124,3 +127,19 @@ def notice_records(spark, sf_dir):
 def page_records(spark, sf_dir):
     """P6 over every page: HTML as it comes, with decoys in scripts, comments and advertisements."""
     return pages.page_records(table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------------------------------------- following pages
+
+
+@query("""WITH RECURSIVE r(n, d) AS (SELECT s_suppkey, 0 FROM supplier UNION SELECT DISTINCT l_partkey, d + 1 FROM r JOIN lineitem ON l_orderkey = n WHERE d < 24)
+SELECT concat('/p/', CAST(n AS VARCHAR)) AS url, CAST(min(d) AS INTEGER) AS depth FROM r GROUP BY n""")
+def crawl_reach(spark, sf_dir):
+    """Pages reached from the suppliers' numbers, an order being a page that links to its parts' numbers;
+    the graph has cycles."""
+    at = lambda c: F.concat(F.lit("/p/"), F.col(c).cast("string"))
+    seeds = table(spark, sf_dir, "supplier").select(F.lit("s").alias("source"), at("s_suppkey").alias("url"))
+    links = table(spark, sf_dir, "lineitem").select(at("l_orderkey").alias("url"), at("l_partkey").alias("href")).distinct()
+    ready_to_checkpoint(spark)
+    visited, _ = frontier.crawl(seeds, links, f"{spark.sparkContext.getCheckpointDir()}/crawl-{uuid.uuid4().hex}", guess=False, follow=True)
+    return visited.select("url", "depth")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, app: str = "bulletin", **conf) -> SparkSession:
@@ -43,3 +44,23 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "bulletin-checkpoints"))
+
+
+class Rounds:
+    """Tables of an iteration beside the checkpoints, each written before the next round reads it;
+    of those under one name only the last stays."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        ready_to_checkpoint(spark)
+        self.spark, self.root, self.n = spark, f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}", 0
+        self.last: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str = "rows") -> DataFrame:
+        self.n += 1
+        path, schema = f"{self.root}/{name}-{self.n}", df.schema
+        df.write.parquet(path)
+        if name in self.last:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last[name])
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.last[name] = path
+        return self.spark.read.schema(schema).parquet(path)
