@@ -19,7 +19,10 @@ doesn't grow with the corpus. A bit shared by a rare word costs time, not exactn
 Scores, cuts and the removal of phrases that a longer one explains are joins by
 (language, phrase). Arithmetic is on decimals of 38 digits.
 
-Memory: a task holds one shard (`SHARD` words) and one Arrow batch. A piece longer than a shard
+Keys and phrases are shuffled as blocks, one a shard or some and a range of hashes; a range is
+one of as many as there are shuffle partitions, so it is as large as one of them.
+
+Memory: a task holds one shard (`SHARD` words) and one Arrow batch, `PENDING` keys, or a range. A piece longer than a shard
 goes on in the next, which repeats its last words, and what stands in them is counted
 down by one there. Recovery: shards and counts are tables in the shared scratch folder.
 
@@ -34,6 +37,7 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -52,6 +56,8 @@ SHARD, BLOCK = 1 << 19, 1 << 22
 BITS = 25
 #: Bits of the hashes by which pairs and triples are merged.
 KEY = 40
+#: Keys that a task gathers over shards before it gives them out.
+PENDING = 1 << 21
 #: What parts pieces becomes a line feed, tabs become blanks, A-Z become small.
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(10 if b in _CUTS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -312,42 +318,111 @@ def counted_again(overlap: int, room: np.ndarray, m: int) -> np.ndarray:
     return np.array([i for i in range(overlap - m + 1) if room[i] >= m], np.int64)
 
 
-def gram_counts(found: DataFrame, frequent, levels: list) -> DataFrame:
-    """h, a of every pair of frequent words of the shards; with the pairs as a level, of every triple."""
-    schema = pa.schema([("h", pa.int64()), ("a", pa.int64())])
+class Blocks:
+    """Sorted keys with counts, gathered over shards and given out as one block a range of keys.
+
+    A shuffle of blocks instead of rows: five bytes a key, and no work a row outside numpy.
+    """
+
+    def __init__(self, ranges: int):
+        self.ranges, self.parts, self.n = ranges, [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((keys, counts))
+        self.n += len(keys)
+        if self.n >= PENDING:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        self.parts, self.n = [], 0
+        part = (keys * np.uint64(self.ranges)) >> np.uint64(KEY)
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys))
+        low, high, few = keys.astype("<u4"), (keys >> np.uint64(32)).astype(np.uint8), counts.astype("<i4")
+        rows = [[part[a] for a in cuts[:-1]], *([x[a:b].tobytes() for a, b in pairwise(cuts.tolist())] for x in (low, high, few))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
+_BLOCKS = pa.schema([("part", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())])
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def frequent_grams(found: DataFrame, frequent, levels: list, least: int) -> DataFrame:
+    """h of the pairs of frequent words of the shards that stand ``least`` times; with the pairs as a
+    level, of the triples."""
     m = len(levels) + 2
+    ranges = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(ranges)
         for lang, overlap, words, ids in rows_of(batches):
             own = Words(lang, words, ids, frequent.value)
             room = own.room([x.value for x in levels])
             at, counts = intervals(*suffix_order(ids, room, m), room, m)
             again = counted_again(overlap, room, m)
             at, counts = np.concatenate((at, again)), np.concatenate((counts, np.full(len(again), -1)))
-            yield pa.RecordBatch.from_arrays([pa.array((own.grams(at, m) >> np.uint64(64 - KEY)).view(np.int64), pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+            yield from blocks.add(own.grams(at, m) >> np.uint64(64 - KEY), counts)
+        yield from blocks.flush()
+
+    def merge(blocks: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.frombuffer(b"".join(blocks.column(name).to_pylist()), kind)
+        keys, counts = summed(read("low", "<u4").astype(np.uint64) | read("high", np.uint8).astype(np.uint64) << np.uint64(32), read("counts", "<i4").astype(np.int64))
+        return pa.table({"h": pa.array(keys[counts >= least].view(np.int64), pa.int64())})
 
-    return found.select("lang", "overlap", "words", "ids").mapInArrow(run, "h bigint, a bigint").groupBy("h").agg(F.sum("a").alias("a"))
+    blocks = found.select("lang", "overlap", "words", "ids").mapInArrow(run, "part bigint, low binary, high binary, counts binary")
+    return blocks.groupBy("part").applyInArrow(merge, "h bigint")
 
 
-def phrase_counts(found: DataFrame, frequent, levels: list, longest: int) -> DataFrame:
-    """lang, phrase, a, m of every phrase of 2 to ``longest`` words whose pairs and triples are all in ``levels``."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("m", pa.int32()), ("a", pa.int64())])
+_PHRASES = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+
+def phrase_counts(found: DataFrame, frequent, levels: list, longest: int, least: int) -> DataFrame:
+    """lang, phrase, m, a of every phrase of 2 to ``longest`` words that stands ``least`` times; its pairs and
+    triples are all in ``levels``. What a shard counts goes out as one block a range of hashes, too."""
+    ranges = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, overlap, words, ids in rows_of(batches):
-            room = Words(lang, words, ids, frequent.value).room([x.value for x in levels])
+            own = Words(lang, words, ids, frequent.value)
+            room = own.room([x.value for x in levels])
             order, common = suffix_order(ids, room, longest)
+            parts, phrases, lengths, sums = [], [], [], []
             for m in range(2, longest + 1):
                 at, counts = intervals(order, common, room, m)
                 again = counted_again(overlap, room, m)
                 at, counts = np.concatenate((at, again)), np.concatenate((counts, np.full(len(again), -1)))
-                phrases = pc.binary_join_element_wise(*(words.take(pa.array(ids[at + k] - 1)) for k in range(m)), " ") if len(at) else pa.array([], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrases, pa.array(np.full(len(at), m, np.int32)), pa.array(counts, pa.int64())], schema=schema)
-
-    counted = found.select("lang", "overlap", "words", "ids").mapInArrow(run, "lang string, phrase string, m int, a bigint")
-    return counted.groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a"))
+                if len(at):
+                    parts.append(((own.grams(at, m) >> np.uint64(64 - KEY)) * np.uint64(ranges)) >> np.uint64(KEY))
+                    phrases.append(pc.binary_join_element_wise(*(words.take(pa.array(ids[at + k] - 1)) for k in range(m)), " "))
+                    lengths.append(np.full(len(at), m, np.int32))
+                    sums.append(counts)
+            if not parts:
+                continue
+            part = np.concatenate(parts)
+            by = np.argsort(part, kind="stable")
+            cuts = np.append(np.flatnonzero(np.append(True, part[by][1:] != part[by][:-1])), len(by))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x.take(pa.array(by))) for x in (pa.concat_arrays(phrases), pa.array(np.concatenate(lengths)), pa.array(np.concatenate(sums), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[by][cuts[:-1]].astype(np.int64)), pa.array([lang] * (len(cuts) - 1), pa.string()), *lists], schema=_PHRASES)
+
+    def merge(blocks: pa.Table) -> pa.Table:
+        sizes = pc.list_value_length(blocks.column("phrases")).to_numpy()
+        flat = pa.table({"lang": blocks.column("lang").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), "phrase": pc.list_flatten(blocks.column("phrases")), "m": pc.list_flatten(blocks.column("lengths")), "a": pc.list_flatten(blocks.column("counts"))})
+        total = flat.group_by(["lang", "phrase", "m"]).aggregate([("a", "sum")])
+        return total.filter(pc.greater_equal(total.column("a_sum"), least)).select(["lang", "phrase", "m", "a_sum"]).rename_columns(["lang", "phrase", "m", "a"])
+
+    blocks = found.select("lang", "overlap", "words", "ids").mapInArrow(run, "part bigint, lang string, phrases array<string>, lengths array<int>, counts array<bigint>")
+    return blocks.groupBy("part").applyInArrow(merge, "lang string, phrase string, m int, a bigint")
 
 
 # ------------------------------------------------------------------------- scores
@@ -389,8 +464,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     frequent = bitmap(spark, words.select(hash_of("lang", "phrase").alias("h")), bits)
     levels: list = []
     for _ in range(2):  # pairs, then triples
-        levels.append(bitmap(spark, gram_counts(found, frequent, levels[:]).filter(F.col("a") >= least).select("h"), bits, KEY))
-    candidates = scratch.keep(phrase_counts(found, frequent, levels, longest).filter(F.col("a") >= least))
+        levels.append(bitmap(spark, frequent_grams(found, frequent, levels[:], least), bits, KEY))
+    candidates = scratch.keep(phrase_counts(found, frequent, levels, longest, least))
     scratch.drop(found)
     kept = scored(words, candidates, totals).join(explained(candidates, percent), ["lang", "phrase"], "left_anti")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
