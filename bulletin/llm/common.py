@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import pyarrow as pa
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where that is
+    """The shared folder the cluster names in spark.checkpoint.dir; only on a local master where that is
     unset (tests, a laptop) a folder of this machine is chosen and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     found = "file://" + os.path.join(tempfile.gettempdir(), "bulletin-scratch")
     spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -114,9 +114,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL8 = r"""
-WITH m AS (
-  SELECT conv_id, CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH large AS (SELECT conv_id, count(*) AS n, CAST(min(turn) AS DOUBLE) AS lo, CAST(max(turn) AS DOUBLE) AS hi FROM conversations GROUP BY conv_id HAVING count(*) > 8192),
+m AS (
+  SELECT c.conv_id, CAST(coalesce(floor((CAST(turn AS DOUBLE) - lo) / (hi - lo + 1) * (n // 512)), 0) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations c LEFT JOIN large ON large.conv_id = c.conv_id WHERE c.conv_id IS NOT NULL),
 who AS (SELECT DISTINCT conv_id, role AS assistant FROM m),
 r AS (
   SELECT m.*, assistant, role = assistant AS own,

@@ -164,7 +164,16 @@ def test_rotation(spark):
     assert [bob.rendered[int(a) : int(b)] for a, b in (s.split(":") for s in bob.mask.split(","))] == ["yo", "yo"]
     assert (bob.n_turns, bob.n_trained, got[2, "ann"].n_turns) == (4, 2, 1)
     assert chat.rotate_perspectives(turns.limit(0)).collect() == []
-    assert {r.segment for r in chat.rotate_perspectives(turns, segment_turns=2).collect()} == {0, 1}
+    assert {r.segment for r in chat.rotate_perspectives(turns, most_turns=3, segment_turns=2).collect()} == {0, 1}
+
+
+def test_a_dialogue_is_one_rendering_whatever_its_turns_are_numbered_by(spark):
+    rows = [(c, t, "ab"[k % 2], f"w{k}") for c, turns in ((1, range(508, 517)), (2, [1_700_000_000_000 + 10**9 * k for k in range(9)]), (3, [-(2**62), 0, 2**62])) for k, t in enumerate(turns)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    got = chat.rotate_perspectives(turns).collect()
+    assert sorted((r.conv_id, r.segment, r.n_turns) for r in got) == [(1, 0, 9)] * 2 + [(2, 0, 9)] * 2 + [(3, 0, 3)] * 2
+    cut = chat.rotate_perspectives(turns, most_turns=8, segment_turns=3).filter("assistant = 'a'").orderBy("conv_id", "segment").collect()
+    assert [(r.conv_id, r.segment, r.n_turns) for r in cut] == [(1, 0, 3), (1, 1, 3), (1, 2, 3), (2, 0, 3), (2, 1, 3), (2, 2, 3), (3, 0, 3)]
 
 
 def test_ledger_is_idempotent(spark):
