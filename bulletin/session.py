@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -39,10 +40,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def ready_to_checkpoint(spark: SparkSession) -> None:
     """See that checkpoints have a folder: the shared one that spark.checkpoint.dir names,
-    and only where that is unset one of this machine."""
+    and only on a local master where that is unset one of this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "bulletin-checkpoints"))
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from bulletin import registry
+from bulletin import page_queries, registry  # noqa: F401  (page_queries registers its own)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
