@@ -8,9 +8,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import labels
+from .functions import dates as D, labels, predicates as P, text as T
 from .operators import frontier, pages, split
-from .registry import _BARE_D, _BARE_M, _DATE, _Y, query, table
+from .registry import _BARE_D, _BARE_M, _DATE, _DAY, _Y, _has_any, query, table
 from .session import ready_to_checkpoint
 
 # ------------------------------------------------------------------------- sessions
@@ -143,3 +143,50 @@ def crawl_reach(spark, sf_dir):
     ready_to_checkpoint(spark)
     visited, _ = frontier.crawl(seeds, links, f"{spark.sparkContext.getCheckpointDir()}/crawl-{uuid.uuid4().hex}", guess=False, follow=True)
     return visited.select("url", "depth")
+
+
+# ------------------------------------------------------------------------- kinds of titles, fields of the display
+
+KIND_TITLE = """CASE doc_id % 9 WHEN 0 THEN '学术讲座预告' WHEN 1 THEN '讲座回顾' WHEN 2 THEN '关于举办教师培训的通知' WHEN 3 THEN '征文启事' WHEN 4 THEN '首页' WHEN 5 THEN '学术沙龙第三期' WHEN 6 THEN '关于组织讲座推荐的公告'
+  WHEN 7 THEN 'Home of the seminar' ELSE concat('研讨会 ', source) END"""
+KIND_BODY = "concat(CASE doc_id % 4 WHEN 0 THEN '请各学院、各单位参加' WHEN 1 THEN '主讲人：张三 请务必参加培训' WHEN 2 THEN '请务必参加培训' ELSE '' END, coalesce(text, ''))"
+KIND_URL = "concat('https://x.test', CASE doc_id % 5 WHEN 0 THEN '/a/20250102/7.html' WHEN 1 THEN '/2025/0102/7.html' WHEN 2 THEN '/2025/01/02/seven.html' WHEN 3 THEN '/list.html' ELSE '/a/2025/7.html' END)"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, coalesce({KIND_TITLE}, '') AS t, {KIND_BODY} AS b, {KIND_URL} AS u FROM documents)
+SELECT doc_id, {_has_any('t', P.LECTURE)} AND NOT {_has_any('t', P.NO_LECTURE)} AS lecture,
+  NOT {_has_any('lower(t)', P.NAVIGATION)} AND NOT {_has_any('t', P.NO_ITEM)} AND length(t) >= 4 AND regexp_matches(u, '/((a/[0-9]{{8}}/[0-9]+\.html)|([0-9]{{4}}/[0-9]{{4}}/[0-9]+\.html)|([0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}/.*\.html))') AS item,
+  {_has_any('t', P.OTHER_TITLE)} AS other,
+  regexp_matches(t, '{P.ADMIN_FRAME}') AND {_has_any('t', P.ADMIN_TITLE)} AND NOT regexp_matches(b, '主讲[人师][:：]\s*[一-龥]{{2,4}}') AND ({' OR '.join(f"contains(b, '{w}')" for w in P.ADMIN_BODY)} OR {_has_any('t', P.ADMIN_STRONG)}) AS admin FROM t""")
+def title_kinds(spark, sf_dir):
+    """F1-F4 over the whole text of every document, with titles and addresses of nine kinds."""
+    t, b, u = F.expr(KIND_TITLE), F.expr(KIND_BODY), F.expr(KIND_URL)
+    return table(spark, sf_dir, "documents").select("doc_id", P.is_lecture(t).alias("lecture"), P.is_list_item(t, u).alias("item"), P.is_other_title(t).alias("other"), P.is_admin_notice(t, b).alias("admin"))
+
+
+SHOWN_URL = "concat(CASE o_orderkey % 5 WHEN 0 THEN 'HTTPS://x/' WHEN 1 THEN ' http://y/' WHEN 2 THEN 'javascript:' WHEN 3 THEN 'ftp://z/' ELSE '' END, CAST(o_orderkey AS STRING))"
+SHOWN_START = f"CASE o_orderkey % 4 WHEN 0 THEN concat({_DAY}, ' 15:30:00') WHEN 1 THEN {_DAY} WHEN 2 THEN NULL ELSE concat({_DAY}, ' 09:05:00') END"
+SHOWN_TITLE = "concat('讲座', CASE o_orderkey % 3 WHEN 0 THEN concat('第', CAST(o_orderkey % 4 AS STRING), '场') WHEN 1 THEN '第1期' ELSE '' END)"
+SHOWN_BIO = "concat('主讲 人简介', o_orderpriority, '教授 很好')"
+SHOWN_ABSTRACT = "CASE o_orderkey % 6 WHEN 0 THEN concat(o_orderpriority, '教授很好') WHEN 1 THEN '主讲人简介：某某' WHEN 2 THEN '资讯及通知 列表' WHEN 3 THEN NULL ELSE concat(' 摘要', o_orderpriority, CAST(o_orderkey AS STRING)) END"
+_STARTED_AT = "CASE WHEN length(st) = 19 THEN CAST(st AS TIMESTAMP) END"
+_WEEKDAY = "list_extract(['日', '一', '二', '三', '四', '五', '六'], CAST(dayofweek(CAST(st AS TIMESTAMP)) AS INTEGER) + 1)"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, o_orderpriority AS p, trim({SHOWN_URL}) AS u, {SHOWN_START} AS st, {SHOWN_TITLE} AS t, CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderkey % 4 AS INTEGER) END AS i, trim(coalesce({SHOWN_ABSTRACT}, '')) AS a, replace({SHOWN_BIO}, ' ', '') AS bio FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(u, '(?i)^https?://') THEN u ELSE '#' END AS url, CASE WHEN length(p) <= 6 THEN p ELSE concat(substring(p, 1, 5), '…') END AS short, concat_ws('；', CASE WHEN p <> '5-LOW' THEN p END, '公开') AS notes,
+  CASE WHEN i IS NOT NULL AND NOT contains(t, concat('第', CAST(i AS VARCHAR), '场')) AND NOT contains(t, concat('第', CAST(i AS VARCHAR), '期')) THEN concat(t, '（第', CAST(i AS VARCHAR), '期）') ELSE t END AS title,
+  CASE WHEN starts_with(a, '主讲人简介') OR contains(bio, replace(a, ' ', '')) OR contains(a, '资讯及通知') THEN '' WHEN length(a) <= 9 THEN a ELSE concat(substring(a, 1, 8), '…') END AS abstract,
+  CASE WHEN {_STARTED_AT} IS NULL THEN '时间待定' WHEN {_STARTED_AT} < TIMESTAMP '2024-06-15 12:00:00' THEN '已结束' ELSE '即将开始' END AS state, coalesce({_STARTED_AT} BETWEEN TIMESTAMP '2024-06-15 12:00:00' AND TIMESTAMP '2024-06-22 12:00:00', false) AS hot,
+  CASE WHEN st IS NULL THEN '时间待定' ELSE concat(substring(st, 1, 10), ' 周', {_WEEKDAY}) END AS day,
+  CASE WHEN st IS NULL THEN '待定' ELSE concat(CAST(month(CAST(st AS TIMESTAMP)) AS VARCHAR), '月', CAST(day(CAST(st AS TIMESTAMP)) AS VARCHAR), '日 周', {_WEEKDAY}, ' ', strftime(CAST(st AS TIMESTAMP), '%H:%M')) END AS clock FROM t""")
+def display_fields(spark, sf_dir):
+    """What a page shows of a notice, one an order."""
+    e = F.expr
+    shown = D.status(e(SHOWN_START), F.lit("2024-06-15 12:00:00").cast("timestamp_ntz"))
+    notes = F.array(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")), F.lit("内部 x"), F.lit("公开"))
+    index = e("CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderkey % 4 AS INT) END")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", T.safe_url(e(SHOWN_URL)).alias("url"), T.truncate(F.col("o_orderpriority"), 6).alias("short"), T.notes_text(notes).alias("notes"), T.episode_title(e(SHOWN_TITLE), index).alias("title"), T.abstract_of(e(SHOWN_ABSTRACT), e(SHOWN_BIO), 9).alias("abstract"),
+        shown["label"].alias("state"), shown["hot"].alias("hot"), D.day_key(e(SHOWN_START)).alias("day"), D.short_time(e(SHOWN_START)).alias("clock"),
+    )
