@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import dates as D, labels, predicates as P, text as T
+from .functions import dates as D, extract as X, labels, predicates as P, text as T
 from .operators import frontier, pages, split
 from .registry import _BARE_D, _BARE_M, _DATE, _DAY, _Y, _has_any, query, table
 from .session import ready_to_checkpoint
@@ -190,3 +190,50 @@ def display_fields(spark, sf_dir):
         "o_orderkey", T.safe_url(e(SHOWN_URL)).alias("url"), T.truncate(F.col("o_orderpriority"), 6).alias("short"), T.notes_text(notes).alias("notes"), T.episode_title(e(SHOWN_TITLE), index).alias("title"), T.abstract_of(e(SHOWN_ABSTRACT), e(SHOWN_BIO), 9).alias("abstract"),
         shown["label"].alias("state"), shown["hot"].alias("hot"), D.day_key(e(SHOWN_START)).alias("day"), D.short_time(e(SHOWN_START)).alias("clock"),
     )
+
+
+# ------------------------------------------------------------------------- forms of texts
+
+_K, _P = "CAST(o_orderkey AS STRING)", "o_orderpriority"
+FORMS = {
+    "half": f"concat('题 目：甲（', {_K}, '）／【', {_P}, '】')",
+    "closed": f"concat('【地点】石', {_K}, ' 主 讲 人 : ', {_P})",
+    "both": f"concat('时间/Time: ', {_K})",
+    "foot": f"concat(repeat('甲', 20), {_K}, ' 版权所有 x')",
+    "title": f"concat('【讲座通知】', {_P}, '论坛） - 学院')",
+    "unit": "concat('教授，现为', CASE o_orderkey % 2 WHEN 0 THEN '暨南大学计算机学院' ELSE '北京大学' END, '教授')",
+    "latin": "concat('Yan Zhang, University of ', CASE o_orderkey % 2 WHEN 0 THEN 'Oslo' ELSE 'Rome' END, ' 报告')",
+    "run": "concat('国家杰青刘梦赤教授', CASE o_orderkey % 3 WHEN 0 THEN '长江学者陈建二教授' ELSE '' END)",
+    "place": f"concat('南教', {_K}, '室14: 30-17: 00')",
+    "dated": f"CASE o_orderkey % 4 WHEN 0 THEN concat('报告 ', {_Y}, ' 年 ', {_BARE_M}, '月', {_BARE_D}, '日') WHEN 1 THEN concat('报告', replace({_DAY}, '-', ''), '号') WHEN 2 THEN concat('报告', {_DAY}) ELSE concat('报告', {_Y}, '年') END",
+    "told": "CASE o_orderkey % 4 WHEN 0 THEN '阅读 发布时间：2024-01-02 10:00 其他 2024-05-05' WHEN 1 THEN '来源：本站 2024-01-03 11:30' WHEN 2 THEN '见 2024-01-04' ELSE '无' END",
+}
+
+
+@query(f"""SELECT o_orderkey, concat('题目:甲(', {_K}, ')/[', {_P}, ']') AS half, concat('地点：石', {_K}, ' 主讲人: ', {_P}) AS closed, concat('时间：Time： ', {_K}) AS both, concat(repeat('甲', 20), {_K}) AS foot, concat({_P}, '论坛') AS title,
+  CASE o_orderkey % 2 WHEN 0 THEN '暨南大学计算机学院' ELSE '北京大学' END AS unit, concat('Yan Zhang/University of ', CASE o_orderkey % 2 WHEN 0 THEN 'Oslo' ELSE 'Rome' END) AS latin, CASE o_orderkey % 3 WHEN 0 THEN '国家杰青刘梦赤教授,长江学者陈建二教授' ELSE '国家杰青刘梦赤教授' END AS run,
+  concat('南教', {_K}, '室') AS place, CASE WHEN o_orderkey % 4 < 3 THEN {_DAY} END AS dated, CASE WHEN o_orderkey % 4 IN (1, 2) THEN CAST(substring({_DAY}, 1, 4) AS INTEGER) END AS year,
+  CASE o_orderkey % 4 WHEN 0 THEN '1 2024-01-02 10:00' WHEN 1 THEN '2 2024-01-03 11:30' WHEN 2 THEN '3 2024-01-04' ELSE '0' END AS told FROM orders""")
+def text_forms(spark, sf_dir):
+    """Texts as pages write them, one of each form an order."""
+    f = {k: F.expr(v) for k, v in FORMS.items()}
+    said = lambda x: F.concat(x["honour"], x["speaker"], x["title"])
+    latin, told = X.latin_speaker(f["latin"]), D.publish_time(f["told"], F.lit(""))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", T.half_width(f["half"]).alias("half"), T.label_text(f["closed"]).alias("closed"), T.split_bilingual(f["both"]).alias("both"), T.strip_footer(f["foot"]).alias("foot"), T.clean_title(f["title"]).alias("title"), X.affiliation(f["unit"]).alias("unit"), F.concat_ws("/", latin["name"], latin["affiliation"]).alias("latin"),
+        F.array_join(F.transform(X.speakers(f["run"]), said), ",").alias("run"), D.split_location(f["place"]).alias("place"), D.date_in_title(f["dated"]).cast("string").alias("dated"), D.year_in(f["dated"]).alias("year"), F.concat_ws(" ", told["level"].cast("string"), told["time"]).alias("told"),
+    )
+
+
+CHECKED = f"concat({_DAY}, ' 15:00:00')", f"CASE o_orderkey % 2 WHEN 0 THEN concat({_DAY}, ' 14:00:00') WHEN 1 THEN concat({_DAY}, ' 16:00:00') END", f"CASE o_orderkey % 3 WHEN 0 THEN CAST({_DATE} + INTERVAL 40 DAY AS DATE) WHEN 1 THEN {_DATE} END", f"CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST({_DATE} + INTERVAL 1 DAY AS DATE) AS STRING) WHEN 1 THEN {_DAY} END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k, {CHECKED[0]} AS s, {CHECKED[1]} AS e FROM orders)
+SELECT k AS o_orderkey, least(s, e) AS s, greatest(s, e) AS e, concat_ws(';', CASE WHEN k % 3 = 0 THEN 'cv-url-date-mismatch' END, CASE WHEN k % 5 = 0 THEN 'cv-publish-after-lecture' END, CASE WHEN k % 2 = 0 THEN 'cv-end-before-start-swapped' END) AS flags,
+  CASE WHEN k % 5 = 1 AND k % 4 > 0 THEN NULL WHEN k % 5 = 0 OR k % 5 = 1 THEN 'told' END AS told FROM t""")
+def checked_times(spark, sf_dir):
+    """Ends before starts, days of addresses and of publishing that don't fit, one an order."""
+    s, e, url, told = (F.expr(x) for x in CHECKED)
+    found = D.cross_validate(s, e, url, told)
+    kept = D.void_publish(F.struct(told.alias("time"), F.expr("CAST(o_orderkey % 4 + 1 AS INT)").alias("level")), s)
+    return table(spark, sf_dir, "orders").select("o_orderkey", found["start"].alias("s"), found["end"].alias("e"), F.array_join(found["flags"], ";").alias("flags"), F.when(kept.isNotNull(), "told").alias("told"))
