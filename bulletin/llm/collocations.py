@@ -102,8 +102,13 @@ class Shard:
             return
         ids = np.concatenate(self.parts)
         words = list(self.number)[1:]
-        counts = np.bincount(ids, minlength=len(words) + 1)[1:] - np.bincount(ids[: self.overlap], minlength=len(words) + 1)[1:]
-        yield {"lang": self.lang, "overlap": self.overlap, "words": words, "counts": counts, "ids": ids.tobytes()}
+        often = np.bincount(ids, minlength=len(words) + 1)[1:]
+        counts = often - np.bincount(ids[: self.overlap], minlength=len(words) + 1)[1:]
+        by = np.argsort(-often, kind="stable")  # frequent words have small numbers, whose higher bytes compress away
+        renumbered = np.empty(len(words) + 1, np.int32)
+        renumbered[0], renumbered[by + 1] = 0, np.arange(1, len(words) + 1)
+        planes = renumbered[ids].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        yield {"lang": self.lang, "overlap": self.overlap, "words": [words[k] for k in by.tolist()], "counts": counts[by], "ids": planes}
         ends = np.flatnonzero(ids == 0)
         piece = ids[ends[-1] + 1 :] if len(ends) else ids  # goes on in the next shard
         self.start([words[i - 1] for i in piece[len(piece) - min(self.keep, len(piece)) :].tolist()])
@@ -111,7 +116,7 @@ class Shard:
 
 def shards(docs: DataFrame, size: int = SHARD, longest: int = LONGEST) -> DataFrame:
     """The shards of ``docs`` (text, lang): lang, overlap (words at the beginning that stand
-    in the shard before, too), words, counts, ids (int32; 0 ends a piece)."""
+    in the shard before, too), words (the most frequent first), counts, ids (int32, by byte planes; 0 ends a piece)."""
 
     def batch_of(found: list[dict]) -> pa.RecordBatch:
         columns = [pa.array([s["lang"] for s in found], pa.string()), pa.array([s["overlap"] for s in found], pa.int32())]
@@ -261,7 +266,7 @@ def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            ids = np.frombuffer(batch.column(3)[k].as_buffer(), np.int32)
+            ids = np.ascontiguousarray(np.frombuffer(batch.column(3)[k].as_buffer(), np.uint8).reshape(4, -1).T).view("<i4").ravel()
             yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values, ids
             if len(ids) > 1 << 16:
                 trim()
@@ -321,7 +326,7 @@ def counted_again(overlap: int, room: np.ndarray, m: int) -> np.ndarray:
 class Blocks:
     """Sorted keys with counts, gathered over shards and given out as one block a range of keys.
 
-    A shuffle of blocks instead of rows: five bytes a key, and no work a row outside numpy.
+    A shuffle of blocks instead of rows: some three bytes a key, and no work a row outside numpy.
     """
 
     def __init__(self, ranges: int):
@@ -340,12 +345,25 @@ class Blocks:
         self.parts, self.n = [], 0
         part = (keys * np.uint64(self.ranges)) >> np.uint64(KEY)
         cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys))
-        low, high, few = keys.astype("<u4"), (keys >> np.uint64(32)).astype(np.uint8), counts.astype("<i4")
-        rows = [[part[a] for a in cuts[:-1]], *([x[a:b].tobytes() for a, b in pairwise(cuts.tolist())] for x in (low, high, few))]
+        spans = list(pairwise(cuts.tolist()))
+        rows = [[part[a] for a, _ in spans], [packed(keys[a:b]) for a, b in spans], [counts[a:b].astype("<i4").tobytes() for a, b in spans]]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BLOCKS, strict=True)], schema=_BLOCKS)
 
 
-_BLOCKS = pa.schema([("part", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())])
+_BLOCKS = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Rising keys as their differences, all lowest bytes first, so that the higher ones compress away."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return steps[:, : KEY // 8].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(KEY // 8, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : KEY // 8] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,11 +393,11 @@ def frequent_grams(found: DataFrame, frequent, levels: list, least: int) -> Data
         yield from blocks.flush()
 
     def merge(blocks: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.frombuffer(b"".join(blocks.column(name).to_pylist()), kind)
-        keys, counts = summed(read("low", "<u4").astype(np.uint64) | read("high", np.uint8).astype(np.uint64) << np.uint64(32), read("counts", "<i4").astype(np.int64))
+        keys = np.concatenate([unpacked(x) for x in blocks.column("keys").to_pylist()])
+        keys, counts = summed(keys, np.frombuffer(b"".join(blocks.column("counts").to_pylist()), "<i4").astype(np.int64))
         return pa.table({"h": pa.array(keys[counts >= least].view(np.int64), pa.int64())})
 
-    blocks = found.select("lang", "overlap", "words", "ids").mapInArrow(run, "part bigint, low binary, high binary, counts binary")
+    blocks = found.select("lang", "overlap", "words", "ids").mapInArrow(run, "part bigint, keys binary, counts binary")
     return blocks.groupBy("part").applyInArrow(merge, "h bigint")
 
 
