@@ -131,7 +131,7 @@ def resolve_year(url: Column, title: Column, published: Column, default: Column)
 
 def cross_year(start: Column, published: Column, retro: Column, preview: Column) -> Column:
     """struct(start, confidence, note): a start in another year than the publishing may
-    belong a year later or earlier. Within one year nothing moves."""
+    belong a year later or earlier. Within one year nothing moves. The notes are fixed values."""
     shifted = lambda n: F.to_timestamp_ntz(F.date_format(start, "yyyy-MM-dd HH:mm:ss"), F.lit(_STAMP)) + F.expr(f"INTERVAL '{n}' YEAR")
     rule = lambda moved, conf, note: F.struct(moved.alias("start"), F.lit(conf).alias("confidence"), F.lit(note).alias("note"))
     s, p = start.cast("date"), published

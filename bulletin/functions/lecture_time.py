@@ -43,7 +43,7 @@ def lecture_time(body: Column, title: Column, url_year: Column, title_year: Colu
     The best label decides: of the lower tier number, first those whose full date is of the
     address's or title's year. A full date stands; month and day take a year by D7, or by a
     weaker label with a trusted year, and are then put right around the turn of a year (D8).
-    Without a label the body's first date counts by the same rules."""
+    Without a label the body's first date counts by the same rules. The notes are fixed values."""
     named = title_year if list_title is None else F.coalesce(title_year, year_in(list_title))
     text = F.coalesce(F.when(published != "", F.replace(body, published, F.lit(""))), body, F.lit(""))
     told, told_year = day(published), F.substring(published, 1, 4).try_cast("int")

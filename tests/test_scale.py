@@ -1,9 +1,6 @@
 """Joins, components, throttles and crawls that hold at scale, against brute force."""
 
-import os
 import random
-import subprocess
-import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -87,17 +84,3 @@ def test_a_crawl_follows_lists_stops_at_cycles_and_goes_on(spark, tmp_path):
     assert sorted((r.source, r.href.rstrip("/")) for r in found.collect()) == [("s", "/a/1"), ("s", "/a/2"), ("s", "/a/3"), ("t", "/a/1"), ("t", "/a/9")]
     nothing, _ = frontier.crawl(seeds.limit(0), args[0], str(tmp_path / "n"))
     assert nothing.collect() == []
-
-
-def test_a_fault_in_the_training_operators_is_raised(tmp_path):
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for name in ("bulletin", "__spark_entry__.py"):
-        os.symlink(f"{root}/{name}", tmp_path / name)
-    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
-    source = open(f"{root}/__spark_entry__.py").read()
-    os.unlink(tmp_path / "__spark_entry__.py")
-    (tmp_path / "__spark_entry__.py").write_text(source)
-    assert run().returncode == 0  # no pipeline: its absence is passed over
-    (tmp_path / "corpus_pipeline.py").write_text("from bulletin.llm import pakcing\n")
-    found = run()
-    assert found.returncode != 0 and "pakcing" in found.stderr
