@@ -67,3 +67,17 @@ def test_rows_after_a_deleted_checkpoint_are_not_lost(spark, tmp_path):
         upsert.ingest(rows, t, "k", "ord", str(tmp_path / "cp")).awaitTermination()
         shutil.rmtree(tmp_path / "cp")
     assert sorted(r.k for r in t.read().collect()) == ["a", "b"]
+
+
+def test_a_batch_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"), "k string, v int, ord int", buckets=8)
+    t.merge(spark.createDataFrame([(str(k), 1, 0) for k in range(100)], t.schema), 0, "k", "ord")
+    for n in range(1, 5):
+        t.merge(spark.createDataFrame([("7", n, 0), (None, n, 0)], t.schema), n, "k", "ord")
+    places = {d.parent.name for d in (tmp_path / "t" / "data").glob("*/bucket=*")}
+    assert len(list((tmp_path / "t" / "data" / "4-0-4").glob("bucket=*"))) <= 2
+    assert places == {"0-0-0", "3-0-3", "4-0-4"}  # the first still holds untouched buckets
+    assert t.read().count() == len({*map(str, range(100))}) + t.read().filter("k IS NULL").count()
+    assert [r.v for r in t.read().filter("k = '7'").collect()] == [4]
+    t.merge(spark.createDataFrame([], t.schema), 9, "k", "ord")
+    assert t.version() == 5 and t.read().filter("k IS NOT NULL").count() == 100
