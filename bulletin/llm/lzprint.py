@@ -24,7 +24,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
