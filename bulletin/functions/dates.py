@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import present, squeeze
+from .text import let, present, squeeze
 
 # Parts of the day, and those that add twelve hours.
 PERIOD = "上午|早上|中午|下午|晚上|傍晚"
@@ -16,12 +16,6 @@ NO_DATE, NO_YEAR = "时间待定", "其他"
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` written and computed once: long expressions that use
-    a part several times would otherwise grow by powers."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def stamp(text: Column) -> Column:
     """A full ``YYYY-MM-DD HH:MM:SS``; anything less precise is null."""
     s = F.substring(text, 1, 19)
@@ -36,9 +30,13 @@ def day(text: Column) -> Column:
 
 def make_day(y: Column, m: Column, d: Column) -> Column:
     """A date of three numbers or texts; null if there is no such day."""
-    y, m, d = (x.try_cast("int") for x in (y, m, d))
-    ok = m.between(1, 12) & d.between(1, 31) & y.between(1, 9999)
-    return F.when(ok, F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd"))).cast("date")
+    zero = F.lit(0)
+
+    def of(n: Column) -> Column:
+        ok = n["m"].between(1, 12) & n["d"].between(1, 31) & n["y"].between(1, 9999)
+        return F.when(ok, F.try_make_timestamp_ntz(n["y"], n["m"], n["d"], zero, zero, zero)).cast("date")
+
+    return let(F.struct(y.try_cast("int").alias("y"), m.try_cast("int").alias("m"), d.try_cast("int").alias("d")), of)
 
 
 def in_period(hour: Column, period: Column) -> Column:
@@ -46,23 +44,37 @@ def in_period(hour: Column, period: Column) -> Column:
     return F.when(period.isin(*AFTERNOON) & (hour < 12), hour + 12).otherwise(hour) % 24
 
 
+# A clock time in digits, and one that is said.
+CLOCK = r"([0-9]{1,2})\s*[:：]\s*([0-9]{2})"
+SPOKEN = r"([0-9]{1,2})\s*点\s*(?:([0-9]{1,2})\s*分?|半)?"
+
+
 def times_on(date: Column, segment: Column) -> Column:
-    """struct(start, end, has_time) of a date and the first two clock times after it."""
-    period = F.regexp_extract(segment, f"({PERIOD})", 1)
-    clock = r"([0-9]{1,2})\s*[:：]\s*([0-9]{2})"
-    hours, minutes = F.regexp_extract_all(segment, F.lit(clock), F.lit(1)), F.regexp_extract_all(segment, F.lit(clock), F.lit(2))
-    spoken = r"([0-9]{1,2})\s*点\s*(?:([0-9]{1,2})\s*分?|半)?"
-    said_h, said_m = F.regexp_extract(segment, spoken, 1), F.regexp_extract(segment, spoken, 2)
-    use_said = (F.size(hours) == 0) & (said_h != "")
-    h0 = F.when(use_said, said_h).otherwise(F.get(hours, F.lit(0))).try_cast("int")
-    said_minute = F.when(said_m != "", said_m.try_cast("int")).when(segment.contains("半"), F.lit(30)).otherwise(F.lit(0))
-    m0 = F.when(use_said, said_minute).otherwise(F.get(minutes, F.lit(0)).try_cast("int"))
-    h1, m1 = F.get(hours, F.lit(1)).try_cast("int"), F.get(minutes, F.lit(1)).try_cast("int")
-    valid = lambda h, m: h.between(0, 23) & m.between(0, 59)
-    at = lambda h, m: F.when(valid(h, m) & date.isNotNull(), F.try_to_timestamp(F.format_string("%s %02d:%02d:00", date.cast("string"), in_period(h, period), m), F.lit(_STAMP))).cast("timestamp_ntz")
-    has_time = F.coalesce(valid(h0, m0), F.lit(False)) & date.isNotNull()
-    start = F.coalesce(at(h0, m0), date.cast("timestamp_ntz"))
-    return F.struct(start.alias("start"), F.when(has_time, at(h1, m1)).alias("end"), has_time.alias("has_time"))
+    """struct(start, end, has_time) of a date and the first two clock times after it. Each form is
+    looked for once, and numbers are taken from what was found."""
+    part = lambda hit, pattern, k: F.regexp_extract(hit, pattern, k).try_cast("int")
+    numbers = lambda h0, m0, h1, m1: F.struct(h0.alias("h0"), m0.alias("m0"), h1.alias("h1"), m1.alias("m1"))
+    none = F.lit(None).cast("int")
+
+    def read(clocks: Column) -> Column:
+        first, second = F.get(clocks, F.lit(0)), F.get(clocks, F.lit(1))
+        return numbers(part(first, CLOCK, 1), part(first, CLOCK, 2), part(second, CLOCK, 1), part(second, CLOCK, 2))
+
+    def heard(hit: Column) -> Column:
+        said = F.regexp_extract(hit, SPOKEN, 2)
+        minute = F.when(said != "", said.try_cast("int")).when(segment.contains("半"), F.lit(30)).otherwise(F.lit(0))
+        return F.when(hit != "", numbers(part(hit, SPOKEN, 1), minute, none, none)).otherwise(numbers(none, none, none, none))
+
+    def of(t: Column) -> Column:
+        valid = lambda h, m: h.between(0, 23) & m.between(0, 59)
+        at = lambda h, m: F.when(valid(h, m) & date.isNotNull(), date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), in_period(h, t["period"]), m))
+        n = t["n"]
+        has_time = F.coalesce(valid(n["h0"], n["m0"]), F.lit(False)) & date.isNotNull()
+        start = F.coalesce(at(n["h0"], n["m0"]), date.cast("timestamp_ntz"))
+        return F.struct(start.alias("start"), F.when(has_time, at(n["h1"], n["m1"])).alias("end"), has_time.alias("has_time"))
+
+    found = let(F.regexp_extract_all(segment, F.lit(CLOCK), F.lit(0)), lambda c: F.when(F.size(c) > 0, read(c)).otherwise(let(F.regexp_extract(segment, SPOKEN, 0), heard)))
+    return let(F.struct(F.regexp_extract(segment, f"({PERIOD})", 1).alias("period"), found.alias("n")), of)
 
 
 def segment_time(segment: Column, default_year: Column, published: Column) -> Column:
@@ -79,28 +91,22 @@ MONTH_DAY, SLASH_DAY = r"([0-9]{1,2})月([0-9]{1,2})[日号]?", r"(?<!20[0-9]{2}
 
 
 def _segment_time(seg: Column, default_year: Column, published: Column) -> Column:
-    """Each form is looked for once in the segment; numbers are taken from what was found."""
-    found = F.struct(
-        F.regexp_extract(seg, ZH_DATE, 0).alias("zh"),
-        *(F.regexp_extract_all(seg, F.lit(p), F.lit(0)).alias(f"n{k}") for k, p in enumerate(NUMERIC_DATES)),
-        F.regexp_extract(seg, MONTH_DAY, 0).alias("md"),
-        F.regexp_extract(seg, SLASH_DAY, 0).alias("sd"),
-    )
+    """Each form is looked for once in the segment, and only where none before it has a date; numbers
+    are taken from what was found."""
     part = lambda hit, pattern, *ks: [F.regexp_extract(hit, pattern, k) for k in ks]
     choose = lambda d, hit, full: F.struct(d.alias("d"), hit.alias("h"), F.lit(full).alias("full"))
 
-    def numeric(hits: Column, pattern: str) -> Column:
-        dated = F.transform(hits, lambda h: choose(make_day(*part(h, pattern, 1, 2, 3)), h, True))
+    def numeric(pattern: str) -> Column:
+        dated = F.transform(F.regexp_extract_all(seg, F.lit(pattern), F.lit(0)), lambda h: choose(make_day(*part(h, pattern, 1, 2, 3)), h, True))
         return F.get(F.filter(dated, lambda x: x["d"].isNotNull() & ~F.coalesce(x["d"] == published, F.lit(False))), F.lit(0))
 
-    def pick(f: Column) -> Column:
-        own = lambda hit, pattern: F.when(hit != "", choose(make_day(default_year, *part(hit, pattern, 1, 2)), hit, False))
-        other = F.coalesce(*(numeric(f[f"n{k}"], p) for k, p in enumerate(NUMERIC_DATES)), own(f["md"], MONTH_DAY), own(f["sd"], SLASH_DAY))
-        return F.when(f["zh"] != "", choose(make_day(*part(f["zh"], ZH_DATE, 1, 2, 3)), f["zh"], True)).otherwise(other)
-
+    own = lambda pattern: let(F.regexp_extract(seg, pattern, 0), lambda hit: F.when(hit != "", choose(make_day(default_year, *part(hit, pattern, 1, 2)), hit, False)))
+    other = F.coalesce(*map(numeric, NUMERIC_DATES), own(MONTH_DAY), own(SLASH_DAY))
+    found = let(F.regexp_extract(seg, ZH_DATE, 0), lambda zh: F.when(zh != "", choose(make_day(*part(zh, ZH_DATE, 1, 2, 3)), zh, True)).otherwise(other))
     behind = lambda c: F.substring(seg, F.position(c["h"], seg), F.length(seg))
     timed = lambda c, t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["has_time"].alias("has_time"), c["full"].alias("from_full"))
-    return let(let(found, pick), lambda c: F.when(c["d"].isNotNull(), let(times_on(c["d"], behind(c)), lambda t: timed(c, t))))
+    on = lambda c: let(behind(c), lambda rest: let(times_on(c["d"], rest), lambda t: timed(c, t)))
+    return let(found, lambda c: F.when(c["d"].isNotNull(), on(c)))
 
 
 def year_in(text: Column) -> Column:

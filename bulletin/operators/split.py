@@ -117,6 +117,8 @@ def detect(pages: DataFrame, key: str = "key", text: str = "text", title: str =
     A null text has none; a text is taken as one line."""
     years = (F.col("default_year"), F.col("published"), F.col("title_year"), F.col("url_year"))
     page = pages.select(key, flatten(F.col(text)).alias("text"), F.col(title).alias("title"), F.col(published).alias("published"), F.col(default_year).cast("int").alias("default_year"), F.col(title_year).cast("int").alias("title_year"), F.col(url_year).cast("int").alias("url_year"), (F.lit(0) if anchors is None else F.coalesce(anchors, F.lit(0))).alias("anchors"))
+    # dealt by page once: all that follows is within a page, so nothing is shuffled again, and a table in few files is many tasks
+    page = page.repartition(key)
     found = marks(page, key, "text")
     own = blocks(found, key).withColumn("value", F.lit(None).cast("int"))
     own = own.unionByName(field_lists(found, key))
