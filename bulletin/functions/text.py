@@ -39,6 +39,12 @@ SPACE = r"[\s\x{3000}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 CJK = r"[\x{4E00}-\x{9FA5}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written and computed once: long expressions that use
+    a part several times would otherwise grow by powers."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def present(c: Column) -> Column:
     """The value, or null where it is empty: empty and missing are the same."""
     return F.when(c != "", c)
@@ -100,14 +106,19 @@ def label_text(text: Column) -> Column:
     """Bracketed labels get a colon, spaced-out ones are closed up, the longest first."""
     longest = sorted(LABELS, key=len, reverse=True)
     text = F.regexp_replace(split_bilingual(text), rf"[【\[]\s*({'|'.join(longest)})\s*[】\]]", "$1：")
-    return reduce(lambda c, w: F.regexp_replace(c, "".join(f"{ch}{SPACE}*" for ch in w), w), longest, text)
+    close = lambda t: reduce(lambda c, w: F.regexp_replace(c, "".join(f"{ch}{SPACE}*" for ch in w), w), longest, t)
+    # only a blank behind a label's letter can be closed up
+    return let(text, lambda t: F.when(t.rlike(f"[{''.join(sorted(set(''.join(LABELS))))}]{SPACE}"), close(t)).otherwise(t))
 
 
 def strip_footer(text: Column) -> Column:
     """C11: cut at the first footer mark that stands in the last seven tenths."""
-    places = F.array(*(F.locate(m, text) - 1 for m in FOOTERS))
-    far = F.filter(places, lambda p: (p > 0) & (p >= F.length(text) * 0.3))
-    return strip(F.when(F.size(far) > 0, F.substring(text, F.lit(1), F.array_min(far))).otherwise(text))
+
+    def cut(t: Column) -> Column:
+        far = let(F.length(t), lambda n: F.filter(F.array(*(F.locate(m, t) - 1 for m in FOOTERS)), lambda p: (p > 0) & (p >= n * 0.3)))
+        return let(F.array_min(far), lambda at: F.when(at.isNotNull(), F.substring(t, F.lit(1), at)).otherwise(t))
+
+    return strip(let(text, cut))
 
 
 def clean_title(title: Column) -> Column:
