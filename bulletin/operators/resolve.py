@@ -24,29 +24,76 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"block_speaker": speaker, "block_day": day}).filter(is_speaker(speaker) & (day != "") & ~day.startswith("0000"))
 
 
-def candidate_pairs(sets: DataFrame, least: float, keys: list[str]) -> DataFrame:
-    """(o1, o2) that may be similar: of two sets with similarity ``least`` (over 0) the first
-    n - ceil(least * n) + 1 tokens, the rarest of all rows first, share one. ``sets`` has keys, o, s."""
-    each = sets.filter(F.size("s") > 0).select(*keys, "o", F.monotonically_increasing_id().alias("id"), "s").select(*keys, "o", "id", F.size("s").alias("n"), F.explode("s").alias("token"))
+def prefixes(sets: DataFrame, least: float, keys: list[str]) -> DataFrame:
+    """A row for each token of the prefix of each set: the first n - ceil(least * n) + 1 tokens, the
+    rarest of all rows first. Of two sets with similarity ``least`` (over 0) the prefixes share one. ``sets`` has keys, s
+    and its other columns; token is the rank of the row's token, p the ranks of the prefix, n the size, bits a sum of the set in 64 bits."""
+    others = [c for c in sets.columns if c not in (*keys, "s")]
+    each = sets.filter(F.size("s") > 0).select(*keys, *others, F.monotonically_increasing_id().alias("id"), "s").select("*", F.explode("s").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "token").groupBy(*keys, "o", "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("s"))
+    own = [F.first(c).alias(c) for c in (*keys, *others, "s")]
+    ranked = each.join(often, "token").groupBy("id").agg(*own, F.array_sort(F.collect_list(F.struct("often", "token"))).alias("r"))
     # least * n is lowered by a hair, as a product may come out above the number it stands for
-    first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    prefix = ranked.select(*keys, "o", F.explode(first).alias("t")).select(*keys, "o", "t.token").distinct()
-    a, b = (prefix.withColumnRenamed("o", f"o{k}") for k in "12")
-    return a.join(b, [*keys, "token"]).filter("o1 < o2").select("o1", "o2").distinct()
+    first = F.slice("r", F.lit(1), F.size("r") - F.ceil(F.size("r") * least - 1e-9).cast("int") + 1)
+    bits = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
+    return ranked.select(*keys, *others, "s", F.transform(first, lambda x: x["token"]).alias("p"), F.size("s").alias("n"), bits.alias("bits")).select("*", F.explode("p").alias("token"))
+
+
+def candidate_pairs(sets: DataFrame, least: float, keys: list[str]) -> DataFrame:
+    """Pairs of rows of ``sets`` (o and other columns, numbered 1 and 2; o1 < o2) with similar sets s1, s2. Pairs
+    that meet at a token are held against each other there, so nothing but the prefixes is shuffled, and only
+    at the first one they share, so each once. Sizes and sums of sets rule most out: a bit that one sum has alone is a token that one set has alone."""
+    rows = prefixes(sets, least, keys)
+    names = [c for c in rows.columns if c not in (*keys, "token")]
+    a, b = (rows.select(*keys, "token", *(F.col(c).alias(f"{c}{k}") for c in names)) for k in "12")
+    size = F.col("n1") + F.col("n2")
+    # of similar sets at most so many tokens are in one alone
+    apart = F.floor(size * ((1 - least) / (1 + least)) + 1e-9)
+    fits = (F.least("n1", "n2") >= F.greatest("n1", "n2") * least - 1e-9) & (F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) <= apart)
+    met = a.join(b, [*keys, "token"]).filter(F.col("o1") < F.col("o2")).filter(fits)
+    met = met.filter(F.get(F.array_intersect("p1", "p2"), F.lit(0)) == F.col("token"))
+    return met.filter(jaccard(F.col("s1"), F.col("s2")) >= least)
+
+
+def _classes(blocked: DataFrame, least: float, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows by the sets of their titles and topics (keys, c, o, u), and pairs of similar classes (keys, c, d, similarity).
+    A class is the rows of a block with one set; it is named by the first of them and compared once."""
+    t = blocked.select(*keys, F.col(order).alias("o"), F.col("sourceUrl").alias("u"), F.posexplode(F.array_distinct(F.array(topic_tokens(F.col("title")), topic_tokens(F.col("topic"))))).alias("k", "s"))
+    t = t.filter(F.size("s") > 0).withColumn("s", F.array_sort("s"))
+    rows = t.withColumn("c", F.min(F.struct("o", "k")).over(Window.partitionBy(*keys, "s")))
+    first = rows.filter((F.col("c.o") == F.col("o")) & (F.col("c.k") == F.col("k"))).select(*keys, F.col("c").alias("o"), "s")
+    met = candidate_pairs(first, least, keys).select(*keys, F.col("o1").alias("c"), F.col("o2").alias("d"), jaccard(F.col("s1"), F.col("s2")).alias("similarity"))
+    return rows.drop("s", "k"), met
 
 
 def similar_pairs(blocked: DataFrame, least: float = SIMILAR, keys: tuple[str, ...] = ("block_speaker", "block_day"), order: str = "ord") -> DataFrame:
     """(a, b, similarity) of rows of one block with different addresses, by the best of
     the comparisons of title and topic. Only rows that share a token of their prefixes are compared,
-    not all of a block; ``order`` is unique and ``least`` over 0."""
-    t = blocked.select(*keys, F.col(order).alias("o"), F.col("sourceUrl").alias("u"), topic_tokens(F.col("title")).alias("t"), topic_tokens(F.col("topic")).alias("p"))
-    sets = t.select(*keys, "o", F.explode(F.array("t", "p")).alias("s"))
-    a, b = (t.select(*(F.col(c).alias(f"{c}{s}") for c in "outp")) for s in "12")
-    best = F.greatest(*(jaccard(F.col(x), F.col(y)) for x, y in (("t1", "t2"), ("p1", "p2"), ("t1", "p2"), ("p1", "t2"))))
-    pairs = candidate_pairs(sets, least, list(keys)).join(a, "o1").join(b, "o2").filter(~F.col("u1").eqNullSafe(F.col("u2")))
-    return pairs.select(F.col("o1").alias("a"), F.col("o2").alias("b"), best.alias("similarity")).filter(F.col("similarity") >= least)
+    not all of a block, and equal sets of a block once; ``order`` is unique and ``least`` over 0."""
+    by = list(keys)
+    rows, met = _classes(blocked, least, by, order)
+    one, two = (rows.select(*by, F.col("c").alias(c), F.col("o").alias(f"o{k}"), F.col("u").alias(f"u{k}")) for c, k in (("c", 1), ("d", 2)))
+    across = met.join(one, [*by, "c"]).join(two, [*by, "d"]).filter("o1 <> o2")
+    twins = one.join(two.withColumnRenamed("d", "c"), [*by, "c"]).filter("o1 < o2").withColumn("similarity", F.lit(1.0))
+    cols = ["o1", "o2", "u1", "u2", "similarity"]
+    linked = across.select(cols).unionByName(twins.select(cols)).filter(~F.col("u1").eqNullSafe(F.col("u2")))
+    # rows with two sets can meet several times
+    return linked.groupBy(F.least("o1", "o2").alias("a"), F.greatest("o1", "o2").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
+def similar_links(blocked: DataFrame, least: float = SIMILAR, keys: tuple[str, ...] = ("block_speaker", "block_day"), order: str = "ord") -> DataFrame:
+    """(a, b): links with the components of `similar_pairs`, in number as the rows and the pairs of classes' members, not
+    as the square of a class. Every row of a class, and of the classes similar to it, is linked with the class's first row,
+    or where that has the row's own address with the first one of another: whoever is linked with any of a class is linked with one of the two."""
+    by = list(keys)
+    rows, met = _classes(blocked, least, by, order)
+    lead = rows.groupBy(*by, "c").agg(F.min(F.struct("o", "u")).alias("r"))
+    other = rows.join(lead, [*by, "c"]).filter(~F.col("u").eqNullSafe(F.col("r.u"))).groupBy(*by, "c").agg(F.min(F.struct("o", "u")).alias("q"))
+    led = lead.join(other, [*by, "c"], "left").select(*by, F.col("c").alias("d"), "r", "q")
+    both = met.select(*by, "c", "d").unionByName(met.select(*by, F.col("d").alias("c"), F.col("c").alias("d"))).unionByName(lead.select(*by, "c", F.col("c").alias("d")))
+    to = both.join(led, [*by, "d"]).join(rows.select(*by, "c", "o", "u"), [*by, "c"])
+    end = F.when(~F.col("u").eqNullSafe(F.col("r.u")), F.col("r.o")).otherwise(F.col("q.o"))
+    return to.select(F.col("o").alias("a"), end.alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
 
 
 def stars(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -104,4 +151,4 @@ def merge(rows: DataFrame, clusters: DataFrame, order: str = "ord") -> DataFrame
 
 def resolve(rows: DataFrame, least: float = SIMILAR, order: str = "ord") -> DataFrame:
     """The whole stage over lecture records."""
-    return merge(rows, close(similar_pairs(blocks(rows), least, order=order)), order)
+    return merge(rows, close(similar_links(blocks(rows), least, order=order)), order)

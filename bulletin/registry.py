@@ -169,7 +169,7 @@ SELECT a, b, round(CAST(i AS DOUBLE) / (x + y - i), 6) AS similarity FROM p WHER
 def near_dup_pairs(spark, sf_dir):
     """Customers of one nation whose numbers share most pairs of digits."""
     k = F.substring("c_name", 10, 9)
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("sourceUrl"), k.alias("title"), F.lit(None).cast("string").alias("topic"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("sourceUrl"), k.alias("title"), F.lit(None).cast("string").alias("topic"))
     return resolve.similar_pairs(rows, 0.6, ("g",)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
