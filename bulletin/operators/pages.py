@@ -151,30 +151,39 @@ def clean_place(place: Column, title: Column) -> Column:
     """A place without what follows it in the text: codes of meetings, dates, invitations, the
     title or the first six to twelve letters of it; no blanks. What is only a meeting's code is online;
     cleaning twice changes nothing more."""
+    return D.let(strip(F.coalesce(place, F.lit(""))), lambda text: F.when(text == "", "").otherwise(_clean_place(text, title)))
+
+
+def _clean_place(text: Column, title: Column) -> Column:
     before = lambda p, least: lambda c: let_cut(c, F.regexp_instr(c, F.lit(p)) - 1, least)
-    text = strip(F.coalesce(place, F.lit("")))
     cut = strip(F.get(F.split(text, "|".join(PLACE_ENDS), 2), F.lit(0)))
     for pattern, least in PLACE_LEAKS:
         cut = strip(D.let(cut, before(pattern, least)))
     even = lambda c: F.replace(F.translate(c, "：（）", ":()"), F.lit("——"), F.lit("--"))
-    name = strip(F.coalesce(title, F.lit("")))
 
     def without_title(c: Column) -> Column:
-        starts = F.transform(F.sequence(F.least(F.length(name), F.lit(12)), F.lit(6), F.lit(-1)), lambda k: F.position(F.substring(even(name), F.lit(1), k), even(c), F.lit(4)))
-        at = F.coalesce(F.get(F.filter(starts, lambda p: p > 0), F.lit(0)), F.lit(0))
-        return F.when((F.length(name) >= 6) & (at > 0), F.substring(c, F.lit(1), at - 1)).otherwise(c)
+        def by(x: Column) -> Column:
+            starts = F.transform(F.sequence(F.least(F.length(x["name"]), F.lit(12)), F.lit(6), F.lit(-1)), lambda k: F.position(F.substring(x["told"], F.lit(1), k), x["even"], F.lit(4)))
+            first = let_first(starts)
+            return D.let(first, lambda at: F.when((F.length(x["name"]) >= 6) & (at > 0), F.substring(c, F.lit(1), at - 1)).otherwise(c))
+
+        return D.let(strip(F.coalesce(title, F.lit(""))), lambda name: D.let(F.struct(name.alias("name"), even(name).alias("told"), even(c).alias("even")), by))
 
     def closed(c: Column) -> Column:
         bare = T.squeeze(c)
         return reduce(lambda x, _: reduce(lambda y, p: strip(F.regexp_replace(y, p, "")), PLACE_LEFT, x), range(3), bare)
 
-    done = D.let(D.let(strip(D.let(cut, without_title)), closed), lambda c: F.when((c == "") & text.rlike(ONLINE_WORD), ONLINE).otherwise(c))
-    return F.when(text == "", "").otherwise(done)
+    return D.let(D.let(strip(D.let(cut, without_title)), closed), lambda c: F.when((c == "") & text.rlike(ONLINE_WORD), ONLINE).otherwise(c))
+
+
+def let_first(places: Column) -> Column:
+    """The first place that is one, or 0."""
+    return F.coalesce(F.get(F.filter(places, lambda p: p > 0), F.lit(0)), F.lit(0))
 
 
 def let_cut(text: Column, at: Column, least: int) -> Column:
     """``text`` up to ``at`` (letters before the cut) if that is more than ``least``."""
-    return F.when(at > least, F.substring(text, F.lit(1), at)).otherwise(text)
+    return D.let(at, lambda n: F.when(n > least, F.substring(text, F.lit(1), n)).otherwise(text))
 
 
 def place_of(fields: Column, title: Column) -> Column:
@@ -391,7 +400,8 @@ def page_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     stands twice gives its records twice only if its key differs, as keys are taken to be unique."""
     # parsed once, for all that follows; and no filter may move below it, where it would repeat the rules
     ready_to_checkpoint(pages.sparkSession)
-    rows = parsed(contents(pages, html), key, url, default_year, list_title, page_retry).checkpoint()
+    # dealt by page first, as a table of few files would be few tasks
+    rows = parsed(contents(pages.repartition(key), html), key, url, default_year, list_title, page_retry).checkpoint()
     checked = D.cross_validate(F.date_format("t.start", "yyyy-MM-dd HH:mm:ss"), F.date_format("t.end", "yyyy-MM-dd HH:mm:ss"), F.col("url_day"), F.col("publishTime"))
     rows = rows.withColumn("cv", checked)
     ahead = ~P.is_dropped(F.col("title"), F.col("body"), F.col("cv.start"), F.col("publishTime"), F.col("publishTimeSource"), F.lit(False) if skip_news is None else skip_news)
