@@ -195,9 +195,9 @@ def publish_time(body: Column, page: Column) -> Column:
     near = "来源|点击|评论|浏览|作者"
     label = rf"(?i)(?:发布(?:时间|日期)?|发表时间|发布于|posted|date)\s*[：:]?\s*({date})"
     rules = [(body, label, 1), (page, label, 1), (body, rf"(?:{near})[：: ]*\D{{0,20}}?({minute})", 2), (body, rf"({minute})\D{{0,20}}?:[0-9]{{2}}\s*(?:{near})", 2), (body, rf"({minute})\D{{0,20}}?(?:{near})", 2), (body, f"({date})", 3), (page, f"({date})", 3)]
-    found = [F.struct(F.regexp_extract(text, p, 1).alias("time"), F.lit(level).alias("level")) for text, p, level in rules]
     none = F.struct(F.lit(None).cast("string").alias("time"), F.lit(0).alias("level"))
-    return F.coalesce(*(F.when(f["time"] != "", f) for f in found), none)
+    rule = lambda text, p, level: let(F.regexp_extract(text, p, 1), lambda time: F.when(time != "", F.struct(time.alias("time"), F.lit(level).alias("level"))))
+    return F.coalesce(*(rule(*r) for r in rules), none)
 
 
 def void_publish(found: Column, start: Column) -> Column:

@@ -106,9 +106,25 @@ def label_text(text: Column) -> Column:
     """Bracketed labels get a colon, spaced-out ones are closed up, the longest first."""
     longest = sorted(LABELS, key=len, reverse=True)
     text = F.regexp_replace(split_bilingual(text), rf"[【\[]\s*({'|'.join(longest)})\s*[】\]]", "$1：")
-    close = lambda t: reduce(lambda c, w: F.regexp_replace(c, "".join(f"{ch}{SPACE}*" for ch in w), w), longest, t)
     # only a blank behind a label's letter can be closed up
-    return let(text, lambda t: F.when(t.rlike(f"[{''.join(sorted(set(''.join(LABELS))))}]{SPACE}"), close(t)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(f"[{''.join(sorted(set(''.join(LABELS))))}]{SPACE}"), reduce(_close_up, _apart(longest), t)).otherwise(t))
+
+
+def _apart(words: list[str]) -> list[list[str]]:
+    """Words in lists, in each of which none begins within another and ends behind it."""
+    overlap = lambda a, b: any(a[-n:] == b[:n] for n in range(1, min(len(a), len(b))))
+    out: list[list[str]] = []
+    for w in words:
+        own = next((x for x in out if not any(overlap(v, w) or overlap(w, v) for v in x)), None)
+        own.append(w) if own is not None else out.append([w])
+    return out
+
+
+def _close_up(text: Column, words: list[str]) -> Column:
+    """The blanks in and behind words of one list go, in one pass: each letter is a group, and those of
+    words that aren't there are empty."""
+    letters = sum(map(len, words))
+    return F.regexp_replace(text, "|".join("".join(f"({ch}){SPACE}*" for ch in w) for w in words), "".join(f"${k + 1}" for k in range(letters)))
 
 
 def strip_footer(text: Column) -> Column:

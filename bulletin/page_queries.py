@@ -218,10 +218,11 @@ def text_forms(spark, sf_dir):
     """Texts as pages write them, one of each form an order."""
     f = {k: F.expr(v) for k, v in FORMS.items()}
     said = lambda x: F.concat(x["honour"], x["speaker"], x["title"])
-    latin, told = X.latin_speaker(f["latin"]), D.publish_time(f["told"], F.lit(""))
+    latin = D.let(X.latin_speaker(f["latin"]), lambda x: F.concat_ws("/", x["name"], x["affiliation"]))
+    told = D.let(D.publish_time(f["told"], F.lit("")), lambda x: F.concat_ws(" ", x["level"].cast("string"), x["time"]))
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", T.half_width(f["half"]).alias("half"), T.label_text(f["closed"]).alias("closed"), T.split_bilingual(f["both"]).alias("both"), T.strip_footer(f["foot"]).alias("foot"), T.clean_title(f["title"]).alias("title"), X.affiliation(f["unit"]).alias("unit"), F.concat_ws("/", latin["name"], latin["affiliation"]).alias("latin"),
-        F.array_join(F.transform(X.speakers(f["run"]), said), ",").alias("run"), D.split_location(f["place"]).alias("place"), D.date_in_title(f["dated"]).cast("string").alias("dated"), D.year_in(f["dated"]).alias("year"), F.concat_ws(" ", told["level"].cast("string"), told["time"]).alias("told"),
+        "o_orderkey", T.half_width(f["half"]).alias("half"), T.label_text(f["closed"]).alias("closed"), T.split_bilingual(f["both"]).alias("both"), T.strip_footer(f["foot"]).alias("foot"), T.clean_title(f["title"]).alias("title"), X.affiliation(f["unit"]).alias("unit"), latin.alias("latin"),
+        F.array_join(F.transform(X.speakers(f["run"]), said), ",").alias("run"), D.split_location(f["place"]).alias("place"), D.date_in_title(f["dated"]).cast("string").alias("dated"), D.year_in(f["dated"]).alias("year"), told.alias("told"),
     )
 
 
