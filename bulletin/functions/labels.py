@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import SPACE, present, strip
+from .text import SPACE, present, strip, where
 
 # Labels of a notice's fields; where any of them stands, the field before it ends.
 FIELD_LABELS = (
@@ -56,5 +56,6 @@ def field(scanned: Column, labels: tuple[str, ...], most: int | None = None) ->
 
 
 def block_value(block: Column, labels: tuple[str, ...], most: int = 40) -> Column:
-    """C17: a field of one session's block."""
-    return present(field(scan(block, tuple(dict.fromkeys((*labels, *BLOCK_LABELS))), BLOCK_STOPS), labels, most))
+    """C17: a field of one session's block. Blocks without any of its labels aren't cut."""
+    short = tuple(w for w in labels if not any(v != w and v in w for v in labels))
+    return where(block, short, present(field(scan(block, tuple(dict.fromkeys((*labels, *BLOCK_LABELS))), BLOCK_STOPS), labels, most)))

@@ -35,7 +35,9 @@ BIO_PREFIXES = ("主讲人简介", "报告人简介", "嘉宾介绍", "专家介
 INTERNAL_NOTE = "(?i)Pattern4|夹逼定位|置信度|建议人工核验|OCR.*跳过|识别失败|内部|调试"
 NOTICE_LIST = "资讯及通知|(?:关于.{2,40}(?:通知|公告|申报|征集|转发|招标|遴选).*){2,}"
 
-SPACE = r"[\s\x{3000}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{1680}\x{0085}]"
+# letters below 256 are named one by one: they are looked up at once, where a class of a class is asked for each letter
+SPACE = r"[ \t\n\x0B\f\r\x{0085}\x{00A0}\x{3000}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{1680}]"
+BLANKS = " \t\n\x0b\f\r\x85\xa0\u3000\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u1680"
 CJK = r"[\x{4E00}-\x{9FA5}]"
 
 
@@ -51,7 +53,14 @@ def present(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Only the ends are looked at, not every letter between them."""
+    return F.trim(c, F.lit(BLANKS))
+
+
+def where(c: Column, words: tuple[str, ...], value: Column) -> Column:
+    """``value``, or null where the text holds none of the words: what is cheap to see keeps patterns from texts
+    that can't match. The value must be null without the words."""
+    return F.when(reduce(lambda x, w: x | c.contains(w), words[1:], c.contains(words[0])), value)
 
 
 def squeeze(c: Column) -> Column:

@@ -18,7 +18,7 @@ from ..functions.extract import affiliation, latin_speaker
 from ..functions.labels import CUT, THEN, block_value, flatten
 from ..functions.lecture_time import first_time
 from ..functions.predicates import is_late, looks_like_name
-from ..functions.text import present, strip
+from ..functions.text import present, strip, where
 from .sessions import first_number, meeting_of, next_value, number, richness
 
 # Numerals; the marks of each way to announce sessions; what ends a topic.
@@ -35,6 +35,8 @@ NUMBERED_END = "(?=\\s*(?:报告人|主讲人|演讲人|讲者|报告专家))"
 REPORT_TOPIC = "(?:报告题目|题目|主题|报告主题|专题题目)[：:]\\s*(.+?)(?=\\s*(?:摘要|简介|报告人|主讲人|讲者|时间|地点|报告时间|报告地点|$))"
 FIELD_END = "报告题目|报告人|报告时间|报告摘要|报告地点|地点|时间|摘要|简介"
 TOPIC_TAILS = (r"\s*(?:主讲人|报告人|预告)\s*[:：]?.*$", "形式[:：].*$")
+# Words without which a way has no mark.
+MARKED_BY = {"topics": ("题", "报告", "Topic", "Title"), "reports": ("报告",), "fields": ("报告",), "numbered": ("题",), "series": ("第",)}
 # How much each label of a block tells; words of links that lead to lectures.
 WEIGHTS = {"报告人": 3, "主讲人": 3, "主讲": 3, "参与者": 2, "摘要": 1, "报告时间": 1, "报告地点": 1}
 LECTURE_LINK = "讲座|报告|讲坛|论坛|沙龙|研讨会|座谈"
@@ -64,8 +66,11 @@ def _trimmed(text: Column, tails: tuple[str, ...]) -> Column:
 
 def marks(pages: DataFrame, key: str, text: str, patterns: dict[str, str] = MARKS) -> DataFrame:
     """key, way, label, at, after: every mark of every pattern with its place and the place behind it."""
-    cut = F.array(*(F.struct(F.lit(way).alias("way"), F.split(F.regexp_replace(text, p, f"{CUT}$0{THEN}"), CUT).alias("parts")) for way, p in patterns.items()))
-    rows = pages.select(key, F.explode(cut).alias("cut")).select(key, "cut.way", F.posexplode("cut.parts").alias("seq", "part"))
+    words = lambda way, p: MARKED_BY[way] if MARKS.get(way) == p else ("",)
+    parts = lambda way, p: where(F.col(text), words(way, p), F.split(F.regexp_replace(text, p, f"{CUT}$0{THEN}"), CUT))
+    cut = F.array(*(F.struct(F.lit(way).alias("way"), parts(way, p).alias("parts")) for way, p in patterns.items()))
+    # ways without a mark have one part
+    rows = pages.select(key, F.explode(cut).alias("cut")).filter(F.size("cut.parts") > 1).select(key, "cut.way", F.posexplode("cut.parts").alias("seq", "part"))
     before = Window.partitionBy(key, "way").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length(F.replace("part", F.lit(THEN), F.lit("")))).over(before), F.lit(0)))
     label = F.substring_index("part", THEN, 1)
@@ -119,9 +124,10 @@ def detect(pages: DataFrame, key: str = "key", text: str = "text", title: str =
     page = pages.select(key, flatten(F.col(text)).alias("text"), F.col(title).alias("title"), F.col(published).alias("published"), F.col(default_year).cast("int").alias("default_year"), F.col(title_year).cast("int").alias("title_year"), F.col(url_year).cast("int").alias("url_year"), (F.lit(0) if anchors is None else F.coalesce(anchors, F.lit(0))).alias("anchors"))
     # dealt by page once: all that follows is within a page, so nothing is shuffled again, and a table in few files is many tasks
     page = page.repartition(key)
-    found = marks(page, key, "text")
-    own = blocks(found, key).withColumn("value", F.lit(None).cast("int"))
-    own = own.unionByName(field_lists(found, key))
+    # lists of fields are told apart here, so that no text is searched for marks that are then left out
+    of = lambda *ways: marks(page, key, "text", {w: MARKS[w] for w in ways})
+    own = blocks(of("topics", "reports", "numbered", "series"), key).withColumn("value", F.lit(None).cast("int"))
+    own = own.unionByName(field_lists(of("fields"), key))
     several = F.count("*").over(Window.partitionBy(key, "way")) >= 2
     own = own.withColumn("several", several).filter("several").drop("several")
     # the day of the whole page is written before blocks that have only clock times
@@ -184,23 +190,26 @@ def records(base: DataFrame, sessions: DataFrame, key: str = "key", text: str =
     fields = ("title", "topic", "lectureStart", "lectureEnd", "location", "speaker", "speakerTitle", "speakerAffiliation", "speakerSource", "speakerBio", "abstract", "host", "participants", "meetingId", "meetingPlatform", "isMultiLecture", "lectureIndex", "lectureCount", "sourceCount", "notes")
     own = lambda c: present(F.col(f"base.{c}")) if c in base.columns else F.lit(None).cast("string")
     others = [F.col(f"base.`{c}`") for c in base.columns if c not in (*fields, text)]
-    block, full = F.col("block"), flatten(F.col(f"base.{text}"))
-    platform = lambda t: F.when(t.contains("腾讯会议"), "腾讯会议").when(F.lower(t).contains("zoom"), "Zoom").when(F.lower(t).contains("webex"), "Webex")
-    met = F.regexp_replace(present(F.regexp_extract(block, MEETING, 1)), r"\s", "")
+    block, full = F.col("block"), F.col("base.__flat")
+    # one line of each page, made before its sessions take it up
+    base = base.withColumn("__flat", flatten(F.col(text)))
+    platform = lambda t: F.when(t.contains("腾讯会议"), "腾讯会议").when(t.rlike("(?i)zoom"), "Zoom").when(t.rlike("(?i)webex"), "Webex")
+    met = where(block, ("会议", "Meeting ID"), F.regexp_replace(present(F.regexp_extract(block, MEETING, 1)), r"\s", ""))
     numerals, ids = (F.regexp_extract_all(full, F.lit(MEETINGS), F.lit(k)) for k in (1, 2))
-    pairs = F.filter(F.arrays_zip(F.transform(numerals, lambda x: F.position(x, F.lit(DIGITS))).alias("n"), ids.alias("id")), lambda x: x["n"] > 0)
-    listed = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["n"])), lambda n: F.struct(n, F.regexp_replace(F.element_at(F.filter(pairs, lambda x: x["n"] == n), -1)["id"], r"\s", ""))))
-    bio = strip(present(F.regexp_extract(block, BIO, 1)))
+    found = F.filter(F.arrays_zip(F.transform(numerals, lambda x: F.position(x, F.lit(DIGITS))).alias("n"), ids.alias("id")), lambda x: x["n"] > 0)
+    by_number = lambda pairs: F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["n"])), lambda n: F.struct(n, F.regexp_replace(F.element_at(F.filter(pairs, lambda x: x["n"] == n), -1)["id"], r"\s", ""))))
+    listed = where(full, ("专题",), let(found, by_number))
+    bio = where(block, ("简介",), strip(present(F.regexp_extract(block, BIO, 1))))
     # what several columns need stands in a projection of its own, so it is computed once
     drawn = {
-        "__told": _trimmed(strip(present(F.regexp_extract(block, ABSTRACT, 1))), ABSTRACT_TAILS),
+        "__told": where(block, ("简介", "摘要"), _trimmed(strip(present(F.regexp_extract(block, ABSTRACT, 1))), ABSTRACT_TAILS)),
         "__bio": F.regexp_extract(bio, r"^([\x{4E00}-\x{9FA5}·]{2,4})", 1),
         "__about": strip(F.regexp_replace(bio, r"^[\x{4E00}-\x{9FA5}·]{2,4}\s*[,，]\s*", "")),
         "participants": block_value(block, ("参与者",)),
     }
     bio_name, told, about, participants = (F.col(f"s.{c}") for c in ("__bio", "__told", "__about", "participants"))
-    in_page = F.coalesce(*(F.when(F.regexp_extract(full, p, 1).rlike(PLACE_WORD), F.regexp_extract(full, p, 1)) for p in PAGE_PLACES))
-    place = F.coalesce(present(strip(F.regexp_extract(block, BLOCK_PLACE, 1))), own("location"), in_page)
+    in_page = F.coalesce(*(let(F.regexp_extract(full, p, 1), lambda v: F.when(v.rlike(PLACE_WORD), v)) for p in PAGE_PLACES))
+    place = F.coalesce(where(block, ("地点",), present(strip(F.regexp_extract(block, BLOCK_PLACE, 1)))), own("location"), where(full, ("地点",), in_page))
     tidy = F.regexp_replace(F.regexp_replace(F.get(F.split(place, "报告[0-9]"), F.lit(0)), r"\s+", ""), "报告(摘要|人|时间)?$", "")
     rows = base.alias("base").join(sessions.withColumns(drawn).alias("s"), key)
     rows = rows.select(

@@ -29,3 +29,28 @@ def test_labels_close_up_as_one_after_the_other(spark, text):
 def test_the_footer_is_looked_for_in_a_text_computed_once(spark):
     text = F.regexp_replace(F.concat(F.lit("甲" * 20), F.col("id").cast("string"), F.lit(" 版权所有")), "x", "y")
     assert jvm_plan(spark, T.strip_footer(text)).count("regexp_replace") <= 2
+
+
+def test_pages_of_sessions_are_flattened_once_and_searched_where_a_label_is(spark):
+    """A page's one line was made anew for each of its fields, and every block was cut for fields whose labels it hasn't."""
+    from bulletin.functions.labels import block_value
+    from bulletin.operators import split
+
+    none = F.lit(None)
+    pages = spark.range(3).select("id", F.lit("题目:论一 时间:2024年6月3日 14:30 地点:理楼 题目:论二 时间:2024年6月4日 14:30 专题一:123456789").alias("text"), F.lit("讲座").alias("title"), none.cast("string").alias("published"), F.lit(2024).alias("default_year"), none.cast("int").alias("title_year"), none.cast("int").alias("url_year"))
+    found = spark.createDataFrame([(0, 1, "论一", None, None, "时间:2024年6月3日", "topics")], "id long, no int, topic string, start timestamp_ntz, end timestamp_ntz, block string, way string")
+    rows = split.records(pages.select("id", "text", "title"), found, "id")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(translate(") <= 1
+    assert len(split.marks(pages, "id", "text").select("way").distinct().collect()) == 1
+    texts = spark.createDataFrame([("主讲人：张三 参与者:李四 时间",), ("主讲 参与：",), ("主讲嘉宾：王五",), (None,)], "b string")
+    assert [r[0] for r in texts.select(block_value(F.col("b"), ("参与者",))).collect()] == ["李四", None, None, None]
+    assert [r[0] for r in texts.select(block_value(F.col("b"), ("主讲", "主讲人"))).collect()] == ["张三", None, None, None]
+
+
+def test_blanks_at_both_ends_go_and_those_between_stay(spark):
+    """As the pattern did that looked at every letter."""
+    from bulletin.functions.text import SPACE, strip
+
+    texts = spark.createDataFrame([(a + "甲 　乙" + b,) for a in ("", " \t\n", "　 ", " \x85\r\n", "​") for b in ("", "\x0b\x0c ", "  ", "\n   ")] + [("",), (" 　",), (None,)], "t string")
+    old = F.regexp_replace("t", f"^{SPACE}+|{SPACE}+$", "")
+    assert texts.filter(~strip(F.col("t")).eqNullSafe(old)).count() == 0
