@@ -3,6 +3,8 @@ stop, the longest first, so the work is linear in the text however many fields a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from .text import SPACE, present, strip, where
@@ -30,7 +32,22 @@ CUT, THEN = "\x01", "\x02"
 
 
 def any_label(labels: tuple[str, ...]) -> str:
-    return "|".join(sorted(labels, key=len, reverse=True))
+    """A pattern for any of the labels, the longest first. Labels that begin alike are one branch, so a letter is held
+    against the first letters, not against every label."""
+    heads: dict[str, list[str]] = {}
+    for w in labels:
+        heads.setdefault(w[:1], []).append(w[1:])
+    end = heads.pop("", None)
+    branches = [re.escape(ch) + any_label(tuple(rest)) for ch, rest in heads.items()]
+    if not branches:
+        return ""
+    return branches[0] if len(branches) == 1 and end is None else f"(?:{'|'.join(branches)}){'' if end is None else '?'}"
+
+
+def opening(patterns: tuple[str, ...]) -> str:
+    """A look ahead at the first letter of patterns, each of which begins with a letter, an escaped one or a class."""
+    first = (p[1 : p.index("]")] if p[0] == "[" else p[:2] if p[0] == "\\" else p[0] for p in patterns)
+    return f"(?=[{''.join(dict.fromkeys(first))}])"
 
 
 def flatten(text: Column) -> Column:
@@ -43,7 +60,7 @@ def scan(text: Column, labels: tuple[str, ...] = FIELD_LABELS, stops: tuple[str,
     label or stop, in the order of the text. Labels without a colon only end values; a label
     followed by a book title in its marks is no label."""
     each, ends = any_label(labels), "|".join(stops)
-    pattern = rf"({each})(?!《)\s*[：:]\s*|(?:{each}{'|' + ends if stops else ''})"
+    pattern = rf"{opening((*labels, *stops))}(?:({each})(?!《)\s*[：:]\s*|{each}{'|' + ends if stops else ''})"
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), pattern, f"{CUT}$1{THEN}"), CUT)
     cut = F.transform(parts, lambda p: F.struct(F.substring_index(p, THEN, 1).alias("label"), strip(F.substring_index(p, THEN, -1)).alias("value")))
     return F.filter(F.slice(cut, F.lit(2), F.size(cut)), lambda x: x["label"] != "")

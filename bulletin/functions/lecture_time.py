@@ -27,7 +27,8 @@ def label_times(body: Column) -> Column:
     labels of lectures, 2 for others. A label within four letters of a word for another time is
     passed over together with its value; a value's month and day are of the year 2000."""
     other = rf"(?<=(?:{OTHER_TIME})[\s\S]{{0,4}})|(?<=regist)(?=time)"
-    pattern = F.lit(rf"(?i)(?:(?:{other})(?:{LABEL})|({LABEL})){SPACE}*[：:]?{SPACE}*(.{{0,50}})")
+    # the first letters of labels come first, so what stands before is looked at only where one may begin
+    pattern = F.lit(rf"(?i)(?=[讲报学开会课时st])(?:(?:{other})(?:{LABEL})|({LABEL})){SPACE}*[：:]?{SPACE}*(.{{0,50}})")
     text = F.coalesce(body, F.lit(""))
     bare = lambda label: F.regexp_replace(label, SPACE, "")
     hit = lambda label, value: F.struct(F.when(bare(label).rlike(STRONG), 1).otherwise(2).alias("tier"), label.alias("label"), strip(value).alias("value"))

@@ -116,7 +116,7 @@ def label_text(text: Column) -> Column:
     longest = sorted(LABELS, key=len, reverse=True)
     text = F.regexp_replace(split_bilingual(text), rf"[【\[]\s*({'|'.join(longest)})\s*[】\]]", "$1：")
     # only a blank behind a label's letter can be closed up
-    return let(text, lambda t: F.when(t.rlike(f"[{''.join(sorted(set(''.join(LABELS))))}]{SPACE}"), reduce(_close_up, _apart(longest), t)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(f"{SPACE}(?<=[{''.join(sorted(set(''.join(LABELS))))}]{SPACE})"), reduce(_close_up, _apart(longest), t)).otherwise(t))
 
 
 def _apart(words: list[str]) -> list[list[str]]:

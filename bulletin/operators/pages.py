@@ -163,7 +163,7 @@ def _clean_place(text: Column, title: Column) -> Column:
 
     def without_title(c: Column) -> Column:
         def by(x: Column) -> Column:
-            starts = F.transform(F.sequence(F.least(F.length(x["name"]), F.lit(12)), F.lit(6), F.lit(-1)), lambda k: F.position(F.substring(x["told"], F.lit(1), k), x["even"], F.lit(4)))
+            starts = F.transform(F.sequence(F.greatest(F.least(F.length(x["name"]), F.lit(12)), F.lit(6)), F.lit(6), F.lit(-1)), lambda k: F.position(F.substring(x["told"], F.lit(1), k), x["even"], F.lit(4)))
             first = let_first(starts)
             return D.let(first, lambda at: F.when((F.length(x["name"]) >= 6) & (at > 0), F.substring(c, F.lit(1), at - 1)).otherwise(c))
 

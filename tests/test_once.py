@@ -54,3 +54,23 @@ def test_blanks_at_both_ends_go_and_those_between_stay(spark):
     texts = spark.createDataFrame([(a + "甲 　乙" + b,) for a in ("", " \t\n", "　 ", " \x85\r\n", "​") for b in ("", "\x0b\x0c ", "  ", "\n   ")] + [("",), (" 　",), (None,)], "t string")
     old = F.regexp_replace("t", f"^{SPACE}+|{SPACE}+$", "")
     assert texts.filter(~strip(F.col("t")).eqNullSafe(old)).count() == 0
+
+
+@pytest.mark.parametrize("sets", ["field", "block"])
+def test_labels_that_begin_alike_are_one_branch(spark, sets):
+    """Every letter of a text was held against each of eighty labels, twice."""
+    import random
+
+    from bulletin.functions import labels as G
+
+    words, stops = (G.FIELD_LABELS, G.FIELD_STOPS) if sets == "field" else (G.BLOCK_LABELS, G.BLOCK_STOPS)
+    each = G.any_label(words)
+    assert "主讲人" not in each and each.startswith("(?:")
+    r, one = random.Random(3), "|".join(sorted(words, key=len, reverse=True))
+    part = lambda: r.choice((*words, r.choice(words)[:2], "：", ":", "《", " ", "2024-1", "【", "[", "甲", "点击", "上午", "第一期", "3月4日"))
+    texts = spark.createDataFrame([("".join(part() for _ in range(r.randint(1, 9))),) for _ in range(400)], "t string")
+    old = rf"({one})(?!《)\s*[：:]\s*|(?:{one}|{'|'.join(stops)})"
+    parts = F.split(F.regexp_replace("t", old, f"{G.CUT}$1{G.THEN}"), G.CUT)
+    cut = F.transform(parts, lambda p: F.struct(F.substring_index(p, G.THEN, 1).alias("label"), T.strip(F.substring_index(p, G.THEN, -1)).alias("value")))
+    want = F.filter(F.slice(cut, F.lit(2), F.size(cut)), lambda x: x["label"] != "")
+    assert texts.filter(~G.scan(F.col("t"), words, stops).eqNullSafe(want)).count() == 0
