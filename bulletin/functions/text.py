@@ -57,10 +57,15 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
+def holds(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds any of a few words, each looked for as bytes."""
+    return reduce(lambda x, w: x | c.contains(w), words[1:], c.contains(words[0]))
+
+
 def where(c: Column, words: tuple[str, ...], value: Column) -> Column:
     """``value``, or null where the text holds none of the words: what is cheap to see keeps patterns from texts
     that can't match. The value must be null without the words."""
-    return F.when(reduce(lambda x, w: x | c.contains(w), words[1:], c.contains(words[0])), value)
+    return F.when(holds(c, words), value)
 
 
 def squeeze(c: Column) -> Column:
@@ -69,13 +74,15 @@ def squeeze(c: Column) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """No white space, then no closing bracket, then no closing date."""
-    bare = F.regexp_replace(squeeze(F.coalesce(title, F.lit(""))), "[（(][^）)]*[）)]$", "")
+    closed = lambda c: F.when(c.endswith("）") | c.endswith(")"), F.regexp_replace(c, "[（(][^）)]*[）)]$", "")).otherwise(c)
+    bare = let(squeeze(F.coalesce(title, F.lit(""))), closed)
     return F.regexp_replace(bare, r"(20[0-9]{2}[-/]?[0-9]{2}[-/]?[0-9]{2}|20[0-9]{6})$", "")
 
 
 def normalize_speaker(speaker: Column) -> Column:
     """Titles stripped from the end, one after the other in their order."""
-    drop = lambda c, t: F.regexp_replace(c, f"^(.+){t}$", "$1")
+    # a stripped text has no line's end behind its last letter, nor has what is left of it
+    drop = lambda c, t: let(c, lambda x: F.when(x.endswith(t), F.regexp_replace(x, f"^(.+){t}$", "$1")).otherwise(x))
     return strip(reduce(drop, TITLES, strip(F.coalesce(speaker, F.lit("")))))
 
 

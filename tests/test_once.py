@@ -74,3 +74,29 @@ def test_labels_that_begin_alike_are_one_branch(spark, sets):
     cut = F.transform(parts, lambda p: F.struct(F.substring_index(p, G.THEN, 1).alias("label"), T.strip(F.substring_index(p, G.THEN, -1)).alias("value")))
     want = F.filter(F.slice(cut, F.lit(2), F.size(cut)), lambda x: x["label"] != "")
     assert texts.filter(~G.scan(F.col("t"), words, stops).eqNullSafe(want)).count() == 0
+
+
+def test_texts_without_a_title_at_their_end_are_not_searched_for_one(spark):
+    """Ten patterns ran through every whole text; the answers are those of the patterns."""
+    from functools import reduce
+
+    texts = spark.createDataFrame([(a + b + c,) for a in ("", "张三", "张\n三", "教授") for b in ("", "教授", "副教授", "博士教授", " 讲师", "教授\n", "(a)b", "（x）") for c in ("", "(y)", "（", ")", "2024-05-06", "院士 ")] + [(None,)], "t string")
+    old = T.strip(reduce(lambda c, t: F.regexp_replace(c, f"^(.+){t}$", "$1"), T.TITLES, T.strip(F.coalesce("t", F.lit("")))))
+    title = F.regexp_replace(F.regexp_replace(T.squeeze(F.coalesce("t", F.lit(""))), "[（(][^）)]*[）)]$", ""), r"(20[0-9]{2}[-/]?[0-9]{2}[-/]?[0-9]{2}|20[0-9]{6})$", "")
+    assert texts.filter(~T.normalize_speaker(F.col("t")).eqNullSafe(old) | ~T.normalize_title(F.col("t")).eqNullSafe(title)).count() == 0
+    plan = texts.select(T.normalize_speaker(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("EndsWith") + plan.count("endswith") >= 10
+
+
+def test_words_without_which_no_rule_of_reports_holds(spark):
+    from bulletin.functions import predicates as P
+
+    told = ["本次活动的成功举办", "讲座圆满结束", "活动取得圆满成功", "此次报告受到好评", "本次讲座将受到", "我院举办学术讲座", "讲座回顾：诗", "回顾与展望", "论坛落下帷幕", "顺利召开", "供稿：甲 终审：乙", "2025年5月3日，报告会在礼堂顺利举办", "我院师生参加会议", "报告会在礼堂举行，领导开展了交流，师生们都说收获很大，时间过得很快", "无", ""]
+    t = F.col("t")
+    every = (
+        F.when(t.rlike(P.RETRO_STRONG) | t.rlike(P.RETRO), "retro-summary").when(t.rlike(P.TITLE_CONDUCT), "title-conduct").when(t.rlike(P.TITLE_RETRO) & ~t.rlike(P.TITLE_AHEAD), "title-retro")
+        .when(t.rlike(P.TITLE_DONE), "title-done").when(t.rlike(P.SIGNATURES), "signature-block").when(t.rlike(f"{P.NARRATIVE_DAY}(?=.{{0,50}}?{P.DONE})"), "narrative-completion").when(t.rlike(P.TITLE_JOINED), "title-participate")
+    )
+    rows = spark.createDataFrame([(x,) for x in told], "t string").select("t", P.news_rule(t, t, F.lit(None).cast("string")).alias("r"), every.alias("e")).collect()
+    assert [r.r for r in rows if r.r != "narrative-process"] == [r.e for r in rows if r.r != "narrative-process"]
+    assert all(r.e is None for r in rows if r.r == "narrative-process") and len({r.r for r in rows}) >= 6
