@@ -54,9 +54,10 @@ def richness(block: Column, weights: dict[str, float]) -> Column:
 def dedup_sessions(rows: DataFrame, key: str, topic: str, start: str, rich: str, pos: str) -> DataFrame:
     """Of sessions with one topic and start the richest, in the first one's place."""
     bare = F.regexp_replace(F.coalesce(F.col(topic), F.lit("")), r"\s+", "")
-    best = Window.partitionBy(key, bare, F.col(start)).orderBy(F.desc(rich), F.asc(pos))
-    slot = F.min(pos).over(Window.partitionBy(key, bare, F.col(start)))
-    return rows.withColumn("slot", slot).withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r")
+    # one window over one column, so that rows are dealt and sorted once
+    best = Window.partitionBy(key, "__bare", F.col(start)).orderBy(F.desc(rich), F.asc(pos))
+    slot = F.min(pos).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn("__bare", bare).withColumns({"slot": slot, "__r": F.row_number().over(best)}).filter("__r = 1").drop("__r", "__bare")
 
 
 def nearest(candidates: Column, at: Column) -> Column:

@@ -100,3 +100,13 @@ def test_words_without_which_no_rule_of_reports_holds(spark):
     rows = spark.createDataFrame([(x,) for x in told], "t string").select("t", P.news_rule(t, t, F.lit(None).cast("string")).alias("r"), every.alias("e")).collect()
     assert [r.r for r in rows if r.r != "narrative-process"] == [r.e for r in rows if r.r != "narrative-process"]
     assert all(r.e is None for r in rows if r.r == "narrative-process") and len({r.r for r in rows}) >= 6
+
+
+def test_sessions_of_one_topic_are_dealt_and_sorted_once(spark):
+    from bulletin.operators import sessions
+
+    rows = spark.createDataFrame([(1, 1, "a b", "x", 1), (1, 2, "ab", "x", 3), (1, 3, "ab", "x", 3), (1, 4, None, None, None), (1, 5, "", None, 2), (2, 1, "ab", "x", 0)], "k int, pos int, topic string, start string, rich int")
+    found = sessions.dedup_sessions(rows, "k", "topic", "start", "rich", "pos")
+    assert sorted((r.k, r.pos, r.slot) for r in found.collect()) == [(1, 2, 1), (1, 5, 4), (2, 1, 1)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1
