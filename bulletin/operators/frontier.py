@@ -57,6 +57,9 @@ def crawl(seeds: DataFrame, links: DataFrame, path: str, nexts: DataFrame | None
     if not rounds.done(0):
         rounds.write("links", 0, spark.createDataFrame([], "source string, href string, page string"))
         rounds.write("pages", 0, seeds.filter("url IS NOT NULL").groupBy("source", bare(F.col("url")).alias("key")).agg(F.max("url").alias("url")).drop("key"))
+    # what the links are made of is worked out once, not in each round
+    rounds.write("have", 0, have)
+    have = spark.read.schema("key string, href string").parquet(f"{rounds.path}/have/depth=0")
     n = 0
     while most is None or n < most:
         visited, seen = rounds.read("pages", _PAGES, n), rounds.read("links", _LINKS, n)
@@ -64,7 +67,7 @@ def crawl(seeds: DataFrame, links: DataFrame, path: str, nexts: DataFrame | None
         if not rounds.done(n + 1):
             if now.isEmpty():
                 break
-            known = seen.select("source", bare(F.col("href")).alias("to")).distinct()
+            known = seen.select("source", bare(F.col("href")).alias("to"))
             found = now.withColumn("key", bare(F.col("url"))).join(have, "key").withColumn("to", bare(F.col("href"))).join(known, ["source", "to"], "left_anti")
             rounds.write("links", n + 1, found.groupBy("source", "to").agg(F.min(F.struct("href", "url")).alias("l")).select("source", "l.href", F.col("l.url").alias("page")))
             fresh = rounds.read("links", _LINKS, n + 1).filter(F.col("depth") == n + 1)
@@ -76,7 +79,7 @@ def crawl(seeds: DataFrame, links: DataFrame, path: str, nexts: DataFrame | None
             if follow:
                 to = to.unionByName(fresh.select("source", F.col("href").alias("url")))
             to = to.filter("url IS NOT NULL").withColumn("key", bare(F.col("url"))).groupBy("source", "key").agg(F.max("url").alias("url"))
-            been = visited.select("source", bare(F.col("url")).alias("key")).distinct()
+            been = visited.select("source", bare(F.col("url")).alias("key"))
             rounds.write("pages", n + 1, to.join(been, ["source", "key"], "left_anti").select("source", "url"))
         n += 1
     return rounds.read("pages", _PAGES, n), rounds.read("links", _LINKS, n)

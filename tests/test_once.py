@@ -110,3 +110,21 @@ def test_sessions_of_one_topic_are_dealt_and_sorted_once(spark):
     assert sorted((r.k, r.pos, r.slot) for r in found.collect()) == [(1, 2, 1), (1, 5, 4), (2, 1, 1)]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_links_of_a_crawl_are_worked_out_once(spark, tmp_path):
+    """A crawl of several rounds made its links anew in each."""
+    from bulletin.operators import frontier
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    links = spark.createDataFrame([(f"/{n}", f"/{n + 1}") for n in range(5)] + [("/5", "/0")], "url string, href string").withColumn("href", counted("href"))
+    seeds = spark.createDataFrame([("s", "/0")], "source string, url string")
+    pages, _ = frontier.crawl(seeds, links, str(tmp_path / "crawl"), guess=False, follow=True)
+    assert {(r.url, r.depth) for r in pages.collect()} == {(f"/{n}", n) for n in range(6)}
+    assert seen.value <= 12  # the filter for empty ones may read them once more; before 36 and more
