@@ -83,16 +83,17 @@ def normalize_speaker(speaker: Column) -> Column:
     """Titles stripped from the end, one after the other in their order."""
     # a stripped text has no line's end behind its last letter, nor has what is left of it
     drop = lambda c, t: let(c, lambda x: F.when(x.endswith(t), F.regexp_replace(x, f"^(.+){t}$", "$1")).otherwise(x))
-    return strip(reduce(drop, TITLES, strip(F.coalesce(speaker, F.lit("")))))
+    ends = tuple(dict.fromkeys(t[-1] for t in TITLES))
+    return let(strip(F.coalesce(speaker, F.lit(""))), lambda n: F.when(F.right(n, F.lit(1)).isin(*ends), strip(reduce(drop, TITLES, n))).otherwise(n))
 
 
 def topic_tokens(text: Column) -> Column:
     """The set of letter pairs of a text without punctuation, and from four letters on
     the whole of it, too."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"""[\s\x{3000},，。、；;：:！!？?·…—\-()（）\[\]【】“”"'《》<>／/]+""", "")
-    pairs = F.when(F.length(bare) >= 2, F.transform(F.sequence(F.lit(1), F.length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.length(bare) >= 4, F.array(bare)).otherwise(F.array().cast("array<string>"))
-    return F.array_union(pairs, whole)
+    none = F.array().cast("array<string>")
+    pairs = lambda b: F.when(F.length(b) >= 2, F.transform(F.sequence(F.lit(1), F.length(b) - 1), lambda i: F.substring(b, i, F.lit(2)))).otherwise(none)
+    return let(bare, lambda b: F.array_union(pairs(b), F.when(F.length(b) >= 4, F.array(b)).otherwise(none)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

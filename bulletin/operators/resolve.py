@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.predicates import is_speaker
-from ..functions.text import jaccard, normalize_speaker, topic_tokens
+from ..functions.text import jaccard, let, normalize_speaker, topic_tokens
 from ..session import Rounds
 from .dedup import completeness
 
@@ -20,8 +20,9 @@ FILLED = ("speakerTitle", "speakerAffiliation", "location", "speakerBio", "organ
 
 def blocks(rows: DataFrame) -> DataFrame:
     """Rows with a plausible speaker and a day, and the block they are in."""
-    speaker, day = normalize_speaker(F.col("speaker")), F.substring(F.coalesce("lectureStart", F.lit("")), 1, 10)
-    return rows.withColumns({"block_speaker": speaker, "block_day": day}).filter(is_speaker(speaker) & (day != "") & ~day.startswith("0000"))
+    speaker = let(normalize_speaker(F.col("speaker")), lambda n: F.when(is_speaker(n), n))
+    day = F.substring(F.coalesce("lectureStart", F.lit("")), 1, 10)
+    return rows.withColumns({"block_speaker": speaker, "block_day": day}).filter((day != "") & ~day.startswith("0000") & F.col("block_speaker").isNotNull())
 
 
 def prefixes(sets: DataFrame, least: float, keys: list[str]) -> DataFrame:
@@ -55,15 +56,26 @@ def candidate_pairs(sets: DataFrame, least: float, keys: list[str]) -> DataFrame
     return met.filter(jaccard(F.col("s1"), F.col("s2")) >= least)
 
 
-def _classes(blocked: DataFrame, least: float, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """Rows by the sets of their titles and topics (keys, c, o, u), and pairs of similar classes (keys, c, d, similarity).
-    A class is the rows of a block with one set; it is named by the first of them and compared once."""
-    t = blocked.select(*keys, F.col(order).alias("o"), F.col("sourceUrl").alias("u"), F.posexplode(F.array_distinct(F.array(topic_tokens(F.col("title")), topic_tokens(F.col("topic"))))).alias("k", "s"))
-    t = t.filter(F.size("s") > 0).withColumn("s", F.array_sort("s"))
-    rows = t.withColumn("c", F.min(F.struct("o", "k")).over(Window.partitionBy(*keys, "s")))
-    first = rows.filter((F.col("c.o") == F.col("o")) & (F.col("c.k") == F.col("k"))).select(*keys, F.col("c").alias("o"), "s")
-    met = candidate_pairs(first, least, keys).select(*keys, F.col("o1").alias("c"), F.col("o2").alias("d"), jaccard(F.col("s1"), F.col("s2")).alias("similarity"))
-    return rows.drop("s", "k"), met
+def _classes(blocked: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows by the sets of their titles and topics (keys, o, u, k, w; w is the set in one text) with the class they are in.
+    A class is the rows of a block with one set; c names it by the first of them, which is r; q is the first with another address than r, if any."""
+    sets = F.array_distinct(F.array(*(F.array_join(F.array_sort(topic_tokens(F.col(x))), " ") for x in ("title", "topic"))))  # no token holds a blank
+    # never empty: outer keeps Spark from computing it a second time to see that
+    t = blocked.select(*keys, F.col(order).alias("o"), F.col("sourceUrl").alias("u"), F.posexplode_outer(sets).alias("k", "w")).filter("w <> ''")
+    by = Window.partitionBy(*keys, "w")
+    rows = t.withColumn("r", F.min(F.struct("o", "k", "u")).over(by)).withColumn("c", F.struct("r.o", "r.k"))
+    return rows.withColumn("q", F.min(F.when(~F.col("u").eqNullSafe(F.col("r.u")), F.struct("o", "u"))).over(by))
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """The row that names each class."""
+    return rows.filter((F.col("c.o") == F.col("o")) & (F.col("c.k") == F.col("k")))
+
+
+def _met(firsts: DataFrame, least: float, keys: list[str]) -> DataFrame:
+    """Pairs of similar classes (keys, c, d, similarity), each compared once."""
+    sets = firsts.select(*keys, F.col("c").alias("o"), F.split("w", " ").alias("s"))
+    return candidate_pairs(sets, least, keys).select(*keys, F.col("o1").alias("c"), F.col("o2").alias("d"), jaccard(F.col("s1"), F.col("s2")).alias("similarity"))
 
 
 def similar_pairs(blocked: DataFrame, least: float = SIMILAR, keys: tuple[str, ...] = ("block_speaker", "block_day"), order: str = "ord") -> DataFrame:
@@ -71,7 +83,8 @@ def similar_pairs(blocked: DataFrame, least: float = SIMILAR, keys: tuple[str, .
     the comparisons of title and topic. Only rows that share a token of their prefixes are compared,
     not all of a block, and equal sets of a block once; ``order`` is unique and ``least`` over 0."""
     by = list(keys)
-    rows, met = _classes(blocked, least, by, order)
+    rows = _classes(blocked, by, order)
+    met = _met(_firsts(rows), least, by)
     one, two = (rows.select(*by, F.col("c").alias(c), F.col("o").alias(f"o{k}"), F.col("u").alias(f"u{k}")) for c, k in (("c", 1), ("d", 2)))
     across = met.join(one, [*by, "c"]).join(two, [*by, "d"]).filter("o1 <> o2")
     twins = one.join(two.withColumnRenamed("d", "c"), [*by, "c"]).filter("o1 < o2").withColumn("similarity", F.lit(1.0))
@@ -86,14 +99,17 @@ def similar_links(blocked: DataFrame, least: float = SIMILAR, keys: tuple[str, .
     as the square of a class. Every row of a class, and of the classes similar to it, is linked with the class's first row,
     or where that has the row's own address with the first one of another: whoever is linked with any of a class is linked with one of the two."""
     by = list(keys)
-    rows, met = _classes(blocked, least, by, order)
-    lead = rows.groupBy(*by, "c").agg(F.min(F.struct("o", "u")).alias("r"))
-    other = rows.join(lead, [*by, "c"]).filter(~F.col("u").eqNullSafe(F.col("r.u"))).groupBy(*by, "c").agg(F.min(F.struct("o", "u")).alias("q"))
-    led = lead.join(other, [*by, "c"], "left").select(*by, F.col("c").alias("d"), "r", "q")
-    both = met.select(*by, "c", "d").unionByName(met.select(*by, F.col("d").alias("c"), F.col("c").alias("d"))).unionByName(lead.select(*by, "c", F.col("c").alias("d")))
-    to = both.join(led, [*by, "d"]).join(rows.select(*by, "c", "o", "u"), [*by, "c"])
-    end = F.when(~F.col("u").eqNullSafe(F.col("r.u")), F.col("r.o")).otherwise(F.col("q.o"))
-    return to.select(F.col("o").alias("a"), end.alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
+    rows = Rounds(blocked.sparkSession, "classes").keep(_classes(blocked, by, order))  # read several times
+    end = lambda: F.when(~F.col("u").eqNullSafe(F.col("r.u")), F.col("r.o")).otherwise(F.col("q.o"))
+    firsts = _firsts(rows)
+    # a class alone in its block meets none, and most are
+    several = firsts.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = _met(firsts.join(several, by, "left_semi"), least, by).select(*by, "c", "d")
+    both = met.unionByName(met.select(*by, F.col("d").alias("c"), F.col("c").alias("d")))
+    led = firsts.select(*by, F.col("c").alias("d"), "r", "q")
+    across = both.join(led, [*by, "d"]).join(rows.select(*by, "c", "o", "u"), [*by, "c"])
+    links = rows.select(F.col("o").alias("a"), end().alias("b")).unionByName(across.select(F.col("o").alias("a"), end().alias("b")))
+    return links.filter("b IS NOT NULL AND a <> b").distinct()
 
 
 def stars(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -127,22 +143,24 @@ def merge(rows: DataFrame, clusters: DataFrame, order: str = "ord") -> DataFrame
     """Of each cluster the fullest record, the first of equals, takes the others of
     other colleges as its sources, one a college in order, and fills its empty fields from
     them; those others leave, others of its own college stay."""
-    member = rows.join(clusters, F.col(order) == F.col("node"), "left").drop("node").withColumn("__score", completeness())
-    by = Window.partitionBy("cluster").orderBy(F.desc("__score"), F.asc(order))
-    ranked = member.withColumn("__rank", F.when(F.col("cluster").isNotNull(), F.row_number().over(by)))
-    lead = Window.partitionBy("cluster").orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumn("__college", F.when(F.col("cluster").isNotNull(), F.first("college").over(lead)))
-    other = F.col("cluster").isNotNull() & (F.col("__rank") > 1)
-    foreign = other & ~F.coalesce(F.col("college") == F.col("__college"), F.col("college").isNull() & F.col("__college").isNull())
+    # a row without a cluster is dealt by its own number, so that such rows don't all meet in one task
+    member = rows.join(clusters, F.col(order) == F.col("node"), "left").withColumn("__in", F.col("node").isNotNull()).drop("node")
+    member = member.withColumn("cluster", F.coalesce("cluster", order)).repartition("cluster")
     source = F.struct(F.coalesce("sourceUrl", F.lit("")).alias("sourceUrl"), F.coalesce("college", F.lit("")).alias("college"), F.coalesce("campus", F.lit("")).alias("campus"), F.coalesce("title", F.lit("")).alias("title"))
-    fill = {f: F.min_by(F.col(f), F.when(other & (F.coalesce(F.col(f), F.lit("")) != ""), F.col(order))).alias(f"__{f}") for f in FILLED}
-    folded = ranked.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.array_sort(F.collect_list(F.when(foreign, F.struct(F.col(order).alias("o"), source.alias("s"))))).alias("__new"), *fill.values())
-    joined = ranked.join(folded, "cluster", "left")
+    # the first of each college is enough, as one a college is kept
+    fill = lambda f: F.min(F.when(F.coalesce(F.col(f), F.lit("")) != "", F.struct(F.col(order).alias("o"), F.col(f).alias("v"))))
+    place = F.struct((-completeness()).alias("least"), F.col(order).alias("o"), F.col("college").alias("college"))
+    own = member.filter("__in").groupBy("cluster", "college").agg(F.min(place).alias("best"), F.min(F.struct(F.col(order).alias("o"), source.alias("s"))).alias("new"), *(fill(f).alias(f"__{f}") for f in FILLED))
+    folded = own.groupBy("cluster").agg(F.min("best").alias("best"), F.collect_list(F.struct("college", "new")).alias("all"), *(F.min(f"__{f}")["v"].alias(f"__{f}") for f in FILLED))
+    foreign_new = F.transform(F.filter("all", lambda x: ~x["college"].eqNullSafe(F.col("best.college"))), lambda x: x["new"])
+    folded = folded.select("cluster", F.col("best").alias("__best"), F.array_sort(foreign_new).alias("__new"), *(f"__{f}" for f in FILLED))
+    joined = member.join(folded, "cluster", "left")
+    lead = F.col("__in") & place.eqNullSafe(F.col("__best"))
+    foreign = F.col("__in") & ~F.col("college").eqNullSafe(F.col("__best.college"))
     none = F.array().cast("array<struct<sourceUrl:string,college:string,campus:string,title:string>>")
     listed = F.concat(F.coalesce("sources", none), F.transform(F.coalesce("__new", F.array().cast(joined.schema["__new"].dataType)), lambda x: x["s"]))
     once = F.aggregate(listed, none, lambda acc, s: F.when((s["college"] == F.col("college")) | F.exists(acc, lambda x: x["college"] == s["college"]), acc).otherwise(F.concat(acc, F.array(s))))
-    lead_row = (F.col("__rank") == 1) & (F.size("__new") > 0)
-    merged = F.coalesce(lead_row, F.lit(False))
+    merged = F.coalesce(lead & (F.size("__new") > 0), F.lit(False))
     out = joined.withColumns({"sources": F.when(merged, once).otherwise(F.col("sources")), "merged": F.when(merged, F.lit(True)).otherwise(F.col("merged"))})
     out = out.withColumns({"sourceCount": F.when(merged, F.size("sources") + 1).otherwise(F.col("sourceCount"))} | {f: F.when(merged & (F.coalesce(F.col(f), F.lit("")) == ""), F.coalesce(F.col(f"__{f}"), F.col(f))).otherwise(F.col(f)) for f in FILLED})
     stays = ~F.coalesce(foreign, F.lit(False))
