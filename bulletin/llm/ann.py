@@ -4,8 +4,8 @@ Vectors with one label are clustered around centres taken from a bounded sample;
 belongs to the shards of its nearest centres, so shards overlap. In each shard every vector
 takes its nearest ones and prunes them robustly (a neighbour goes if one already taken is
 closer to it by the factor alpha). The adjacency lists of all shards are united. Every
-vector then searches the united graph among its shards' vectors: greedily with a beam from
-the medoid and from its own node, then expanding the range while links are found. Links are
+vector then searches the united graph among the vectors of its home, the shard of its nearest
+centre: greedily with a beam from the medoid and from its own node, then expanding the range while links are found. Links are
 verified in double precision. What the links join is a family, however many shards it is
 spread over: all its pairs are compared in blocks, so that pairs without a common shard
 count too. Recall is audited on a bounded sample against all rows, and the search repeats
@@ -106,8 +106,8 @@ def range_search(x: np.ndarray, graph: np.ndarray, own: int, starts: list[int],
     soon as it meets nodes in range, expands all of them before it goes on."""
     q = x[own]
     new = np.unique(starts)
-    seen = np.zeros(len(x), dtype=bool)
-    seen[new] = True
+    seen = np.zeros(len(x) + 1, dtype=bool)
+    seen[new] = seen[-1] = True  # the last stands for the filling
     frontier: list[tuple[float, int]] = []
     best: list[float] = []
     found = []
@@ -116,7 +116,8 @@ def range_search(x: np.ndarray, graph: np.ndarray, own: int, starts: list[int],
         inside = sims >= cosine
         hot = new[inside]
         found.append(hot)
-        for s, j in zip(sims[~inside].tolist(), new[~inside].tolist(), strict=True):
+        near = ~inside if len(best) < beam else ~inside & (sims > best[0])
+        for s, j in zip(sims[near].tolist(), new[near].tolist(), strict=True):
             if len(best) < beam:
                 heapq.heappush(best, s)
             elif s > best[0]:
@@ -129,44 +130,48 @@ def range_search(x: np.ndarray, graph: np.ndarray, own: int, starts: list[int],
                 break
             hot = [heapq.heappop(frontier)[1]]
         new = graph[hot].ravel()
-        new = np.unique(new[new >= 0])
         new = new[~seen[new]]
+        if len(hot) > 1:  # one list holds no node twice
+            new = np.unique(new)
         seen[new] = True
     out = np.concatenate(found)
     return out[out != own]
 
 
 def _assign(shared, overlap: int):
-    """Members of groups -> a row for each of their nearest centres."""
+    """Members of groups -> a row for each of their nearest centres; of a member's home, the nearest is its home."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres: dict[str, np.ndarray] = shared.value
         for batch in batches:
-            groups, vs = batch.column(0).to_pylist(), batch.column(2)
-            rows, shards = [], []
+            groups, vs, at_home = batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist()
+            rows, shards, home = [], [], []
             for i, (g, v) in enumerate(zip(groups, vs, strict=True)):
                 if (c := centres.get(g)) is None:
                     rows.append(i)
                     shards.append(g)
+                    home.append(at_home[i])
                     continue
                 near = np.argsort(-(c @ np.frombuffer(v.as_py(), dtype=np.float64)), kind="stable")[:overlap]
                 rows += [i] * len(near)
                 shards += [f"{g}/{k}" for k in near.tolist()]
+                home += [at_home[i]] + [False] * (len(near) - 1)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), batch.column(1).take(take), vs.take(take)], names=["shard", "rep", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), batch.column(1).take(take), vs.take(take), pa.array(home, pa.bool_())], names=["shard", "rep", "v", "home"])
 
     return run
 
 
 def shards_of(reps: DataFrame, scratch: Scratch, overlap: int, shard: int, max_shard: int) -> DataFrame:
-    """shard, rep, v: overlapping shards of (label, rep, v), each of bounded size."""
+    """shard, rep, v, home: overlapping shards of (label, rep, v), each of bounded size. Of a vector's shards
+    one is its home. ``shard`` is the wanted size with the overlap, so that shards don't grow with it."""
     spark = reps.sparkSession
-    members = reps.select(F.concat_ws(":", "label", F.length("v").cast("string")).alias("shard"), "rep", "v")
+    members = reps.select(F.concat_ws(":", "label", F.length("v").cast("string")).alias("shard"), "rep", "v", F.lit(True).alias("home"))
     limit = shard
     for _ in range(8):
         sizes = members.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
         first = Window.partitionBy("shard").orderBy(F.xxhash64("rep", F.lit(limit)))
-        wanted = F.least(F.lit(MAX_CENTRES), F.ceil(F.col("n") / shard))
+        wanted = F.least(F.lit(MAX_CENTRES), F.ceil(overlap * F.col("n") / shard))
         sample = members.join(sizes, "shard").filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < 8 * 1_000_000 * wanted / F.col("n"))
         chosen = sample.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= wanted).select("shard", "v").collect()
         if not chosen:
@@ -175,7 +180,7 @@ def shards_of(reps: DataFrame, scratch: Scratch, overlap: int, shard: int, max_s
         for r in chosen:
             centres.setdefault(r.shard, []).append(r.v)
         shared = spark.sparkContext.broadcast({g: _matrix(vs) for g, vs in centres.items()})
-        members = scratch.keep(members.mapInArrow(_assign(shared, overlap), "shard string, rep bigint, v binary"))
+        members = scratch.keep(members.mapInArrow(_assign(shared, overlap), "shard string, rep bigint, v binary, home boolean"))
         limit = max_shard
     return members
 
@@ -200,8 +205,9 @@ def _search(cosine: float, beam: int):
             graph.append(order[at[sorted_ids[at] == near]])
         lists, medoid = padded(graph), int(np.argmax(x @ x.mean(axis=0)))
         # verified as found: range_search compares unit vectors in double precision
-        found = [range_search(x, lists, i, [medoid, i], cosine, beam) for i in range(len(ids))]
-        own, other = np.repeat(ids, [len(f) for f in found]), ids[np.concatenate(found)] if found else ids[:0]
+        at_home = np.flatnonzero(pdf["home"].to_numpy())
+        found = [range_search(x, lists, i, [medoid, i], cosine, beam) for i in at_home.tolist()]
+        own, other = np.repeat(ids[at_home], [len(f) for f in found]), ids[np.concatenate(found)] if found else ids[:0]
         return pd.DataFrame({"a": np.minimum(own, other), "b": np.maximum(own, other)}).drop_duplicates()
 
     return run
@@ -293,7 +299,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shard: int =
     reps = scratch.keep(packed.join(classes.select("label", F.col("rep").alias("vec_id"), "key"), ["label", "vec_id", "key"]).select(F.col("vec_id").alias("rep"), "label", "v").dropDuplicates(["rep", "label", "v"]))
     for _ in range(TRIES):
         shards = scratch.keep(shards_of(reps, scratch, overlap, shard, max_shard))
-        built = shards.groupBy("shard").applyInPandas(_build(NEAREST, DEGREE, ALPHA), "rep bigint, near array<bigint>")
+        built = shards.select("shard", "rep", "v").groupBy("shard").applyInPandas(_build(NEAREST, DEGREE, ALPHA), "rep bigint, near array<bigint>")
         graph = scratch.keep(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
         searched = shards.join(graph, "rep").groupBy("shard").applyInPandas(_search(cosine, beam), "a bigint, b bigint")
         found = scratch.keep(searched.distinct())

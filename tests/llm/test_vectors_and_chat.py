@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bulletin.llm import ann, chat, components, rollup, topk
+from bulletin.llm.common import Scratch
 
 INF, NAN = float("inf"), float("nan")
 
@@ -79,6 +80,16 @@ def test_large_shards_are_cut_again(spark):
     assert sum(got.values()) >= 0.9 * sum(x for x, _ in want.values()) and all(got[i] <= want[i][0] for i in want)
 
 
+def test_shards_count_their_overlap_and_each_vector_is_searched_once(spark):
+    rng = np.random.default_rng(12)
+    reps = spark.createDataFrame([(i, "1", rng.normal(0, 1, 8).tobytes()) for i in range(1200)], "rep bigint, label string, v binary")
+    for n, shard, most in ((1200, 100, 10_000), (1200, 100, 150), (90, 100, 150)):  # cut once, again, and not at all
+        rows = ann.shards_of(reps.filter(F.col("rep") < n), Scratch(spark, "shards"), 3, shard, most).toPandas()
+        assert sorted(rows[rows["home"]]["rep"]) == list(range(n))
+        # most centres at random get more than others, but on average a shard has the wanted size
+        assert len(rows) / rows["shard"].nunique() <= 1.3 * shard
+
+
 def family(seed, n, spread, dims=16):
     rng = np.random.default_rng(seed)
     middle = rng.normal(0, 1, dims)
