@@ -22,7 +22,9 @@ Scores, cuts and the removal of phrases that a longer one explains are joins by
 Keys and phrases are shuffled as blocks, one a shard or some and a range of hashes; a range is
 one of as many as there are shuffle partitions, so it is as large as one of them.
 
-Memory: a task holds one shard (`SHARD` words) and one Arrow batch, `PENDING` keys, or a range. A piece longer than a shard
+Memory: a task holds one shard (`SHARD` words) and one Arrow batch, `PENDING` keys, or a range. Besides, Spark holds a batch
+sent to Python twice outside its heap, and what a reader takes at once on it; so word ids are compressed before Spark sees
+them, a shard is a row group of its own, and blocks go out in parts. A piece longer than a shard
 goes on in the next, which repeats its last words, and what stands in them is counted
 down by one there. Recovery: shards and counts are tables in the shared scratch folder.
 
@@ -56,14 +58,21 @@ SHARD, BLOCK = 1 << 19, 1 << 22
 BITS = 25
 #: Bits of the hashes by which pairs and triples are merged.
 KEY = 40
+#: Bits that a key leaves in a number of 64.
+_ROOM = np.uint64(64 - KEY)
 #: Keys that a task gathers over shards before it gives them out.
 PENDING = 1 << 21
 #: What parts pieces becomes a line feed, tabs become blanks, A-Z become small.
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(10 if b in _CUTS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_SHARDS = pa.schema([("lang", pa.string()), ("overlap", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
-_SHARDS_DDL = "lang string, overlap int, words array<string>, counts array<bigint>, ids binary"
+#: Batches in which a task's blocks go out.
+STEPS = 16
+#: How shards are written: a row group each, so that writers and readers hold one at a time.
+ALONE = {"parquet.block.row.count.limit": "1"}
+
+_SHARDS = pa.schema([("lang", pa.string()), ("overlap", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("n", pa.int32()), ("ids", pa.binary())])
+_SHARDS_DDL = "lang string, overlap int, words array<string>, counts array<bigint>, n int, ids binary"
 
 
 class Shard:
@@ -108,7 +117,7 @@ class Shard:
         renumbered = np.empty(len(words) + 1, np.int32)
         renumbered[0], renumbered[by + 1] = 0, np.arange(1, len(words) + 1)
         planes = renumbered[ids].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        yield {"lang": self.lang, "overlap": self.overlap, "words": [words[k] for k in by.tolist()], "counts": counts[by], "ids": planes}
+        yield {"lang": self.lang, "overlap": self.overlap, "words": [words[k] for k in by.tolist()], "counts": counts[by], "n": len(ids), "ids": pa.compress(planes, "zstd", asbytes=True)}
         ends = np.flatnonzero(ids == 0)
         piece = ids[ends[-1] + 1 :] if len(ends) else ids  # goes on in the next shard
         self.start([words[i - 1] for i in piece[len(piece) - min(self.keep, len(piece)) :].tolist()])
@@ -116,13 +125,13 @@ class Shard:
 
 def shards(docs: DataFrame, size: int = SHARD, longest: int = LONGEST) -> DataFrame:
     """The shards of ``docs`` (text, lang): lang, overlap (words at the beginning that stand
-    in the shard before, too), words (the most frequent first), counts, ids (int32, by byte planes; 0 ends a piece)."""
+    in the shard before, too), words (the most frequent first), counts, n and ids (so many int32, by byte planes, compressed; 0 ends a piece)."""
 
     def batch_of(found: list[dict]) -> pa.RecordBatch:
         columns = [pa.array([s["lang"] for s in found], pa.string()), pa.array([s["overlap"] for s in found], pa.int32())]
         words = [pa.array(s["words"], pa.binary()) for s in found]
         places = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
-        columns += [pa.ListArray.from_arrays(places, pa.concat_arrays(words).view(pa.string())), pa.ListArray.from_arrays(places, pa.array(np.concatenate([s["counts"] for s in found]), pa.int64())), pa.array([s["ids"] for s in found], pa.binary())]
+        columns += [pa.ListArray.from_arrays(places, pa.concat_arrays(words).view(pa.string())), pa.ListArray.from_arrays(places, pa.array(np.concatenate([s["counts"] for s in found]), pa.int64())), pa.array([s["n"] for s in found], pa.int32()), pa.array([s["ids"] for s in found], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, schema=_SHARDS)
 
     @tidy
@@ -266,7 +275,8 @@ def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            ids = np.ascontiguousarray(np.frombuffer(batch.column(3)[k].as_buffer(), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+            planes = pa.decompress(batch.column(4)[k].as_buffer(), 4 * batch.column(3)[k].as_py(), "zstd")
+            ids = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
             yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values, ids
             if len(ids) > 1 << 16:
                 trim()
@@ -327,13 +337,15 @@ class Blocks:
     """Sorted keys with counts, gathered over shards and given out as one block a range of keys.
 
     A shuffle of blocks instead of rows: some three bytes a key, and no work a row outside numpy.
+    Until then a key and its count are one number, the count (-1 or more, of one shard) in the bits
+    that the key leaves, so that they are sorted in place.
     """
 
     def __init__(self, ranges: int):
         self.ranges, self.parts, self.n = ranges, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((keys, counts))
+        self.parts.append(keys << _ROOM | (counts + 1).astype(np.uint64))
         self.n += len(keys)
         if self.n >= PENDING:
             yield from self.flush()
@@ -341,15 +353,24 @@ class Blocks:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        both = np.concatenate(self.parts)
         self.parts, self.n = [], 0
+        both.sort()
+        keys = both >> _ROOM
+        both &= (np.uint64(1) << _ROOM) - np.uint64(1)
+        counts = both.view(np.int64)
+        counts -= 1
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+        del both, first
         part = (keys * np.uint64(self.ranges)) >> np.uint64(KEY)
         cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys))
         spans = list(pairwise(cuts.tolist()))
-        rows = [[part[a] for a, _ in spans], [packed(keys[a:b]) for a, b in spans], [counts[a:b].astype("<i4").tobytes() for a, b in spans]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BLOCKS, strict=True)], schema=_BLOCKS)
-
-
+        step = -(-len(spans) // STEPS)
+        for k in range(0, len(spans), step):
+            some = spans[k : k + step]
+            rows = [[part[a] for a, _ in some], [packed(keys[a:b]) for a, b in some], [counts[a:b].astype("<i4").tobytes() for a, b in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BLOCKS, strict=True)], schema=_BLOCKS)
 _BLOCKS = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -397,7 +418,7 @@ def frequent_grams(found: DataFrame, frequent, levels: list, least: int) -> Data
         keys, counts = summed(keys, np.frombuffer(b"".join(blocks.column("counts").to_pylist()), "<i4").astype(np.int64))
         return pa.table({"h": pa.array(keys[counts >= least].view(np.int64), pa.int64())})
 
-    blocks = found.select("lang", "overlap", "words", "ids").mapInArrow(run, "part bigint, keys binary, counts binary")
+    blocks = found.select("lang", "overlap", "words", "n", "ids").mapInArrow(run, "part bigint, keys binary, counts binary")
     return blocks.groupBy("part").applyInArrow(merge, "h bigint")
 
 
@@ -439,7 +460,7 @@ def phrase_counts(found: DataFrame, frequent, levels: list, longest: int, least:
         total = flat.group_by(["lang", "phrase", "m"]).aggregate([("a", "sum")])
         return total.filter(pc.greater_equal(total.column("a_sum"), least)).select(["lang", "phrase", "m", "a_sum"]).rename_columns(["lang", "phrase", "m", "a"])
 
-    blocks = found.select("lang", "overlap", "words", "ids").mapInArrow(run, "part bigint, lang string, phrases array<string>, lengths array<int>, counts array<bigint>")
+    blocks = found.select("lang", "overlap", "words", "n", "ids").mapInArrow(run, "part bigint, lang string, phrases array<string>, lengths array<int>, counts array<bigint>")
     return blocks.groupBy("part").applyInArrow(merge, "lang string, phrase string, m int, a bigint")
 
 
@@ -472,9 +493,11 @@ def explained(candidates: DataFrame, percent: int) -> DataFrame:
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, percent: int = PERCENT, size: int = SHARD, bits: int = BITS) -> DataFrame:
     """Of every language of ``docs`` (text, lang) its ``top`` phrases of 2 to ``longest`` words that
     stand ``least`` times: lang, rank, phrase, a, l, r, n, score."""
+    if 2 * size + longest >= 1 << (64 - KEY):
+        raise ValueError("a shard's counts must fit beside a key")
     spark = docs.sparkSession
     scratch = Scratch(spark, "collocations")
-    found = scratch.keep(shards(docs, size, longest))
+    found = scratch.keep(shards(docs, size, longest), **ALONE)
     counts = scratch.keep(word_counts(found))
     totals = counts.groupBy("lang").agg(F.sum("a").alias("n"))
     words = counts.filter(F.col("a") >= least)

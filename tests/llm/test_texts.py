@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from bulletin.llm import collocations, fim, lzprint
+from bulletin.llm.common import Scratch
 
 COLUMNS = "doc_id bigint, text string, lang string, n int, a bigint, h bigint, place string, key string, form string, phrase string, rank int, `a.b` int"
 ODD = [
@@ -128,6 +131,49 @@ def test_collocations_of_nothing_and_of_a_long_text(spark):
         same([tuple(r) for r in collocations.collocations(frame(spark, rows), size=size).collect()], brute_phrases(rows))
 
 
+def test_a_shard_is_small_where_spark_holds_it(spark):
+    rng = np.random.default_rng(1)
+    words = np.minimum(rng.zipf(1.3, 60_000), 20_000)
+    docs = frame(spark, [(k, " ".join(f"w{x}" for x in words[k::6]) + ".", "en") for k in range(6)], 1)
+    found = Scratch(spark, "shards").keep(collocations.shards(docs, size=1 << 13), **collocations.ALONE)
+    rows = found.select("lang", "overlap", "words", "n", "ids").toArrow()
+    assert rows.num_rows > 4
+    assert all(len(x) < 2 * n for x, n in zip(rows["ids"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    seen = Counter()
+    for _, overlap, names, ids in collocations.rows_of(rows.to_batches()):
+        seen.update(f"{names[int(i) - 1]}" for i in ids[overlap:] if i)
+    assert seen == Counter(f"w{x}" for x in words)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in found.inputFiles()]
+    assert {g.row_group(k).num_rows for g in groups for k in range(g.num_row_groups)} == {1}
+
+
+def test_keys_are_gathered_in_little_memory(monkeypatch):
+    n = 1 << 18
+    monkeypatch.setattr(collocations, "PENDING", n)
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 40, n, dtype=np.uint64)
+    keys[: n // 4] = keys[n // 4 : n // 2]  # some twice
+    counts = rng.integers(-1, 1 << 20, n)
+    want = Counter()
+    for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
+        want[k] += c
+    blocks, batches = collocations.Blocks(50), []
+    tracemalloc.start()
+    for at in range(0, n, n // 4):
+        for batch in blocks.add(keys[at : at + n // 4].copy(), counts[at : at + n // 4].copy()):
+            batches.append(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for part, ks, cs in (row for batch in batches for row in zip(*batch.to_pydict().values(), strict=True)):
+        ks = collocations.unpacked(ks)
+        assert set((ks * np.uint64(50) >> np.uint64(40)).tolist()) == {part}
+        got |= dict(zip(ks.tolist(), np.frombuffer(cs, "<i4").tolist(), strict=True))
+    assert got == dict(want)
+    assert max(batch.nbytes for batch in batches) < n
+    assert peak < 44 * n, peak / n
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     big = 10**16
     words = spark.createDataFrame([("en", "x", 3 * big), ("en", "y", big + 7)], "lang string, phrase string, a bigint")
