@@ -1,6 +1,7 @@
 """Operators on documents against brute force, an exact round trip or held-out accuracy."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -183,6 +184,46 @@ def test_jaccard_join_is_brute_force(spark, small_group):
     same([tuple(r) for r in partenum.jaccard_join(frame(spark, rows), small_group=small_group).collect()], brute_jaccard(rows))
 
 
+def test_jaccard_join_in_small_cells_is_brute_force(spark):
+    rows = near_rows(8, 150) + ODD
+    same([tuple(r) for r in partenum.jaccard_join(frame(spark, rows), small_group=2, block=3).collect()], brute_jaccard(rows))
+
+
+def test_share_of_the_sample_does_not_fall(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "SAMPLE_DOCS", 10)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(14))
+    for own in (9, 60):  # sets of single features and of parts
+        docs = frame(spark, [(i, passage + "".join(f" w{rng.randrange(10**9)}" for _ in range(own)), None) for i in range(800)])
+        common = partenum._common_signatures(docs, 800, partenum.WORDS)
+        s = partenum.shingles(passage)
+        if own == 9:
+            assert all(common.of(partenum.parts(s, band)[0]).all() for band in (4,))
+        a, b = (partenum.shingles(r.text) for r in docs.select("text").limit(2).collect())
+        assert not set(partenum.signatures(a, len(a).bit_length() - 1, common)) & set(partenum.signatures(b, len(b).bit_length() - 1, common))
+
+
+def test_cells_hold_what_may_meet(spark):
+    rng = random.Random(6)
+    size = {m: int(20 * 2 ** rng.uniform(0, 5)) for m in range(400)}
+    groups = [list(range(f, f + 20)) for f in range(0, 400, 20)] + [list(range(k, 400, 20)) for k in range(0, 20, 4)]
+    rest = spark.createDataFrame([(g, m, m, min(ms)) for g, ms in enumerate(groups) for m in ms], "sig bigint, member bigint, component bigint, lead bigint")
+    shapes = spark.createDataFrame(list(size.items()), "member bigint, size bigint").select("member", partenum.size_class("size").alias("class"))
+    cells = partenum._cells(rest, shapes, 8)
+    rows = partenum._sides(partenum._units(rest, cells), cells).collect()
+    one, two = ({(r.cell, r.cell2, r.member) for r in rows if r[side]} for side in ("one", "two"))
+    units = {(r.cell, r.cell2) for r in rows}
+    met = {(a, b) for c in units for a in (m for m in size if (*c, m) in one) for b in (m for m in size if (*c, m) in two)}
+    for ms in groups:
+        for a in ms:
+            for b in ms:
+                if a != b and 75 * max(size[a], size[b]) <= 100 * min(size[a], size[b]):
+                    assert (a, b) in met or (b, a) in met
+    kind = {m: int(math.log(n) / math.log(partenum.SIZE_STEP)) for m, n in size.items()}
+    assert all(abs(kind[a] - kind[b]) <= 1 for a, b in met)  # whole families were compared
+    assert {(r.member, r.component) for r in rows} == {(m, m) for m in size}
+
+
 def test_jaccard_join_of_nothing(none):
     assert partenum.jaccard_join(none).collect() == []
 
